@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessel.llm.quality_rules import op7_crf_line_quality
+from tessel.llm.suffix_tree import op2_suffix_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_tree": op2_suffix_tree,
     "op7_crf_line_quality": op7_crf_line_quality,
 }
 
