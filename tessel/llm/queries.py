@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessel.llm.jaccard_join import op4_ngram_jaccard
+from tessel.llm.kneser_ney import op9_kneser_ney
 from tessel.llm.quality_rules import op7_crf_line_quality
 from tessel.llm.suffix_tree import op2_suffix_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_kneser_ney": op9_kneser_ney,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op2_suffix_tree": op2_suffix_tree,
     "op7_crf_line_quality": op7_crf_line_quality,
