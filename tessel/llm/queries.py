@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tessel.llm.jaccard_join import op4_ngram_jaccard
 from tessel.llm.kneser_ney import op9_kneser_ney
 from tessel.llm.quality_rules import op7_crf_line_quality
+from tessel.llm.sentence_pieces import op10_sentence_pieces
 from tessel.llm.suffix_tree import op2_suffix_tree
+from tessel.llm.token_counts import op8_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_token_counts": op8_token_counts,
+    "op10_sentence_pieces": op10_sentence_pieces,
     "op9_kneser_ney": op9_kneser_ney,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op2_suffix_tree": op2_suffix_tree,

@@ -153,3 +153,24 @@ def windows(t: Tokens, k: int) -> tuple[np.ndarray, np.ndarray]:
 def signed(h: np.ndarray) -> np.ndarray:
     """As the long that Spark holds."""
     return np.ascontiguousarray(h).view(np.int64)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans in ascending order that don't overlap."""
+    out, i = [np.zeros(0, np.uint64)], 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK, "right")))
+        a, b = int(start[i]), int(end[j - 1])
+        up, down = _powers(b - a + 1)
+        total = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(_TABLE[data[a:b]] * up[: b - a], out=total[1:])
+        s, e = start[i:j] - a, end[i:j] - a
+        out.append(mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)))
+        i = j
+    return np.concatenate(out)
+
+
+def ragged(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[first[i] : first[i] + size[i]] of all i, one after the other."""
+    ends = np.cumsum(size)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)]
