@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessel.llm import chat_format, mixing
+from tessel.llm.chat_format import op3_prefix_targets
 from tessel.llm.jaccard_join import op4_ngram_jaccard
 from tessel.llm.kneser_ney import op9_kneser_ney
+from tessel.llm.mixing import op5_poisson_mixture
 from tessel.llm.quality_rules import op7_crf_line_quality
 from tessel.llm.sentence_pieces import op10_sentence_pieces
 from tessel.llm.suffix_tree import op2_suffix_tree
 from tessel.llm.token_counts import op8_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_prefix_targets": op3_prefix_targets,
+    "op5_poisson_mixture": op5_poisson_mixture,
     "op8_token_counts": op8_token_counts,
     "op10_sentence_pieces": op10_sentence_pieces,
     "op9_kneser_ney": op9_kneser_ney,
@@ -22,4 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_crf_line_quality": op7_crf_line_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_prefix_targets": chat_format.ORACLE_SQL,
+    "op5_poisson_mixture": mixing.ORACLE_SQL,
+}
