@@ -6,28 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessel.llm import chat_format, mixing
+from tessel.llm import chat_format, mixing, sharding
 from tessel.llm.chat_format import op3_prefix_targets
+from tessel.llm.grid_join import op6_epsilon_grid_join
 from tessel.llm.jaccard_join import op4_ngram_jaccard
 from tessel.llm.kneser_ney import op9_kneser_ney
 from tessel.llm.mixing import op5_poisson_mixture
 from tessel.llm.quality_rules import op7_crf_line_quality
 from tessel.llm.sentence_pieces import op10_sentence_pieces
+from tessel.llm.sharding import op1_tiered_shards
 from tessel.llm.suffix_tree import op2_suffix_tree
 from tessel.llm.token_counts import op8_token_counts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_prefix_targets": op3_prefix_targets,
-    "op5_poisson_mixture": op5_poisson_mixture,
-    "op8_token_counts": op8_token_counts,
-    "op10_sentence_pieces": op10_sentence_pieces,
-    "op9_kneser_ney": op9_kneser_ney,
-    "op4_ngram_jaccard": op4_ngram_jaccard,
-    "op2_suffix_tree": op2_suffix_tree,
-    "op7_crf_line_quality": op7_crf_line_quality,
-}
+_ALL = (
+    op1_tiered_shards, op2_suffix_tree, op3_prefix_targets, op4_ngram_jaccard, op5_poisson_mixture,
+    op6_epsilon_grid_join, op7_crf_line_quality, op8_token_counts, op9_kneser_ney, op10_sentence_pieces,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_tiered_shards": sharding.ORACLE_SQL,
     "op3_prefix_targets": chat_format.ORACLE_SQL,
     "op5_poisson_mixture": mixing.ORACLE_SQL,
 }
