@@ -42,7 +42,7 @@ def lost_updates(writes: DataFrame, key: str = "key", read_ts: str = "read_ts",
 
 def nearest_rank(df: DataFrame, value: str, quantiles: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
     """Nearest-rank percentiles: the ceil(q * n)-th of the sorted values, with count, min, max and
-    mean, one row a group. Nulls are left out. Equal values are counted first, so that only distinct
+    mean, one row a group, and one row without groups. Nulls are left out. Equal values are counted first, so that only distinct
     values are ranked."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
     by = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
@@ -52,7 +52,7 @@ def nearest_rank(df: DataFrame, value: str, quantiles: Sequence[float], groups:
         for q in quantiles
     ]
     mean = (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("mean")
-    return up.groupBy(*groups).agg(F.sum("_n").alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), mean, *cuts)
+    return up.groupBy(*groups).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), mean, *cuts)
 
 
 #: Operations of one history that the search covers.
