@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.llm import tokens as T
@@ -210,7 +210,7 @@ def _read_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
 def _tile_edges(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in grouped(batches, 2):
-            node, n = table["node"].to_numpy(), table["n"].to_numpy()
+            node, n = (table[c].to_numpy() for c in ("node", "n"))
             bits, at = _binary(table["bits"], np.uint64)
             a: list[np.ndarray] = []
             b: list[np.ndarray] = []
@@ -228,18 +228,25 @@ def _tile_edges(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 def _candidates(sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between nodes, whose components hold all links."""
-    rows = sets.filter("keys is not null").select(F.explode("keys").alias("key"), "node")
+    rows = sets.filter("keys is not null").select(F.explode("keys").alias("key"), "node", "n")
     shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high").select("key")
     rows = save(rows.join(shared, "key").distinct(), "prefixes")
-    at = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("all"))
-    at = at.groupBy("size", "low", "high", "all").agg(F.min("key").alias("key"))  # one key for each set of nodes
-    rows = rows.join(at.select("key", "size", "low"), "key")
+    rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("low")), "key")
     large = rows.filter(F.col("size") > TILE).filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    bits = sets.filter("bits is not null").groupBy("node").agg(F.min("n").alias("n"), F.first("bits").alias("bits"))
-    small = rows.filter(F.col("size") <= TILE).join(bits, "node")
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent)) + 1e-9)
-    # sets that link are in one band or in neighbours; both bands of a tile meet in it
-    tiles = small.select(F.explode(F.array(band - 1, band)).alias("tile"), "key", "node", "n", "bits")
+    # of a key's nodes in order of size, one can only link if a neighbour is near enough in size
+    by = Window.partitionBy("key").orderBy("n", "node")
+    near = lambda less, more: F.coalesce(100 * less >= percent * more, F.lit(False))
+    small = rows.filter(F.col("size") <= TILE).select("key", "node", "n", near(F.lag("n").over(by), F.col("n")).alias("below"), near(F.col("n"), F.lead("n").over(by)).alias("above"))
+    small = save(small.filter("below or above").select("key", "node", "n"), "neighbours")
+    # of keys with the same nodes one is enough
+    at = small.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("all"), F.min("n").alias("least"), F.max("n").alias("most"))
+    at = at.groupBy("size", "low", "high", "all").agg(F.min("key").alias("key"), F.min("least").alias("least"), F.max("most").alias("most"))
+    # sets that link are in one size band or in neighbours: a tile is two neighbouring bands at a key
+    band = lambda n: F.floor(F.log(n) / F.log(F.lit(100.0 / percent)) + 1e-9)
+    own, low, high = band(F.col("n")), band(F.col("least")), band(F.col("most"))
+    tile = F.when(high - low <= 1, F.array(low)).otherwise(F.array(own - 1, own))
+    bits = sets.filter("bits is not null").groupBy("node").agg(F.first("bits").alias("bits"))
+    tiles = small.join(at.select("key", "least", "most"), "key").select(F.explode(tile).alias("tile"), "key", "node", "n").join(bits, "node").select("tile", "key", "node", "n", "bits")
     tiles = tiles.repartition("tile", "key").sortWithinPartitions("tile", "key", "n", "node")
     return large.union(tiles.mapInArrow(_tile_edges(percent), "a long, b long"))
 
