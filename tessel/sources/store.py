@@ -80,6 +80,17 @@ class Attempt:
     request_hash: str = ""
     result: dict = field(default_factory=dict)
 
+    def digest(self) -> str:
+        """SHA-256 that equal attempts share, whatever the order in which their writes are stored:
+        of the snapshot, the catalog, and for each table the number of writes and two sums of
+        their rows' hashes, which Spark forms without sorting."""
+        parts: list = [self.read_ts, self.epoch, self.catalog.to_json() if self.catalog else None]
+        for table_id, writes in sorted(self.writes.items()):
+            row = [F.col(f"`{c}`") for c in writes.columns]
+            sums = [F.coalesce(F.sum(F.xxhash64(F.lit(seed), *row).cast("decimal(38,0)")), F.lit(0)).cast("string") for seed in (1, 2)]
+            parts.append([table_id, *writes.agg(F.count("*"), *sums).first()])
+        return hashlib.sha256(json.dumps(parts).encode()).hexdigest()
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:

@@ -179,6 +179,17 @@ def test_ordered_apply(store):
     assert store.stats()["no_op"] == 1 and store.stats()["aborted"] == 1
 
 
+def test_equal_attempts_share_a_digest(store):
+    def attempt(rows):
+        txn = store.begin()
+        txn.insert("accounts", rows)
+        return txn.attempt().digest()
+
+    a, b = (10, "x", True), (11, "y", False)
+    assert attempt([a, b]) == attempt([b, a]) != attempt([a])
+    assert attempt([a]) != attempt([(10, "x", False)])
+
+
 def test_vacuum_keeps_what_reads_at_the_floor_need(store):
     for i in range(3):
         t = store.begin()
