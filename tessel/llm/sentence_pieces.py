@@ -20,7 +20,9 @@ from tessel.llm import tokens as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct words whose pieces a task remembers.
-REMEMBER = 1 << 18
+REMEMBER = 1 << 17
+#: Bytes of text, and ids, that are worked on at once.
+TEXT_RUN, ID_RUN = 1 << 20, 1 << 18
 #: A byte piece costs so much more than the worst piece.
 BYTE_COST = 1e5
 
@@ -170,7 +172,7 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(held.value)
         for batch in batches:
-            for a, b, data, offsets in T.chunks(batch.column(1)):
+            for a, b, data, offsets in T.chunks(batch.column(1), TEXT_RUN):
                 ids, bounds = encoder.encode(data, offsets)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))})
 
@@ -186,9 +188,13 @@ def with_text(encoded: DataFrame, v: Vocabulary) -> DataFrame:
         for batch in batches:
             ids = batch.column(names.index("ids")).fill_null(pa.scalar([], pa.list_(pa.int32())))
             bounds = ids.offsets.to_numpy()
-            data, offsets = decode(ids.values.to_numpy()[bounds[0] : bounds[-1]], bounds - bounds[0], held.value)
-            text = pa.LargeStringArray.from_buffers(len(batch), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*names, "text"])
+            values, a = ids.values.to_numpy(), 0
+            while a < len(batch):
+                b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + ID_RUN, "right")) - 1)
+                data, offsets = decode(values[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], held.value)
+                text = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), text], names=[*names, "text"])
+                a = b
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{schema}, text string")
