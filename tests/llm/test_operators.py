@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessel.llm import chat_format, grid_join, jaccard_join, kneser_ney, mixing, quality_rules, sentence_pieces, sharding, suffix_tree, token_counts
+from tessel.llm import components as components_module
 from tessel.llm import tokens as T
 from tessel.llm.components import components
 from tessel.llm.scratch import fresh
@@ -255,7 +256,9 @@ def test_one_of_each_group_stays_with_its_columns(spark):
     assert jaccard_join.keep_one(docs.limit(0)).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_components_of_chains_and_stars(spark, monkeypatch, few):
+    monkeypatch.setattr(components_module, "FEW", few)
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(100)] + [(1000, 1000 + i) for i in range(1, 50)] + [(r.randrange(2000, 2100), r.randrange(2000, 2100)) for _ in range(60)]
     want = components_of(list(range(2100)), list(range(2100)), lambda a, b: (a, b) in linked or (b, a) in linked) if (linked := set(edges)) else {}
