@@ -129,7 +129,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Tokens:
     return Tokens(s, e, h, np.searchsorted(s, offsets))
 
 
-def chunks(column: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row bounds, bytes and offsets of runs of rows of about size bytes; a longer text is a run of its own."""
     data, offsets = text_bytes(column)
     a, n = 0, len(offsets) - 1
