@@ -466,6 +466,16 @@ def test_classifier_keeps_trusted_and_rejects_symbols(spark):
     assert kneser_ney.assess(odd, c).count() == len(ODD)
 
 
+def test_kneser_ney_trains_on_all_trusted_text_within_the_bound(spark, monkeypatch):
+    """No more is cut than the stated 5,000 documents and 24 million characters."""
+    docs = spark.range(8000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b "), F.repeat(F.lit("word "), 1000)).alias("text"), F.lit("en").alias("lang"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    seen = []
+    monkeypatch.setattr(kneser_ney, "train", lambda rows, order: seen.append(rows.count()))
+    kneser_ney.fit(docs, labels)
+    assert 3500 < seen[0] == docs.filter("pmod(xxhash64(doc_id), 2) = 0").count() < 4500
+
+
 # 10
 
 
