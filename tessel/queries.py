@@ -74,11 +74,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def _dialect(name: str, sql: str, oracle: str, views: str, parameters: tuple[Value, ...] = (), rank: bool = False) -> None:
-    """Registers a query of the dialect. oracle: DuckDB SQL over v_<view>."""
+def _folder(spark: SparkSession) -> str:
+    """The folder that executors share, as far as one is set."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessel-")
+
+
+def ranked(df: DataFrame, name: str) -> DataFrame:
+    """df, which is sorted as a whole, with each row's place from 1. The sort is by ranges and no task
+    sees all rows: the sorted parts are written once, and a part's rows are placed after those of the parts before it."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/sorted-{uuid.uuid4().hex}"
+    placed = df.withColumn("_at", F.monotonically_increasing_id())  # the part, and the place in it in the lower 33 bits
+    placed.write.parquet(path)
+    rows = spark.read.schema(placed.schema).parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    before, offsets = 0, []
+    for part, n in rows.groupBy("_part").count().orderBy("_part").collect():
+        offsets.append((part, before))
+        before += n
+    parts = F.broadcast(spark.createDataFrame(offsets, "_part long, _before long"))
+    place = F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before") + 1
+    return rows.join(parts, "_part").select(*(F.col(f"`{c}`") for c in df.columns), place.alias(name))
+
+
+def _dialect(name: str, sql: str, oracle: str, views: str, parameters: tuple[Value, ...] = (), rank: bool = False, whole: bool = False) -> None:
+    """Registers a query of the dialect. oracle: DuckDB SQL over v_<view>. whole: a sorted result without a limit."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = query_frame(sql, catalog(), lambda t: view(pinned(spark), sf_dir, t.name), parameters)
+        if whole:
+            return ranked(df, "rnk")
         # a limited and sorted result is one partition, whose rows are counted in order
         return df.withColumn("rnk", F.monotonically_increasing_id() + 1) if rank else df
 
@@ -144,6 +168,10 @@ _dialect("group_constant_empty", "SELECT 1 AS one FROM region WHERE FALSE GROUP
 for _name, _sql in (("sort_asc_nulls_last", "half ASC NULLS LAST"), ("sort_desc_nulls_first", "half DESC NULLS FIRST")):
     _dialect(_name, f"SELECT o_orderkey, half FROM orders ORDER BY half {_sql.split()[1]} LIMIT 9000", f"SELECT o_orderkey, half, row_number() OVER (ORDER BY {_sql}, o_orderkey) AS rnk FROM v_orders ORDER BY rnk LIMIT 9000", "orders", rank=True)
 _dialect("sort_alias_and_unprojected", "SELECT o_orderkey AS cents FROM orders ORDER BY o_orderpriority, cents DESC LIMIT 100", "SELECT o_orderkey AS cents, row_number() OVER (ORDER BY o_orderpriority, o_orderkey DESC) AS rnk FROM v_orders ORDER BY rnk LIMIT 100", "orders", rank=True)
+# the same orders over all rows
+for _name, _sql in (("sort_all_asc_nulls_last", "half ASC NULLS LAST"), ("sort_all_desc_nulls_first", "half DESC NULLS FIRST")):
+    _dialect(_name, f"SELECT o_orderkey, half FROM orders ORDER BY half {_sql.split()[1]}, o_orderkey", f"SELECT o_orderkey, half, row_number() OVER (ORDER BY {_sql}, o_orderkey) AS rnk FROM v_orders", "orders", whole=True)
+_dialect("sort_all_alias_and_unprojected", "SELECT o_orderkey AS cents FROM orders ORDER BY o_orderpriority, cents DESC", "SELECT o_orderkey AS cents, row_number() OVER (ORDER BY o_orderpriority, o_orderkey DESC) AS rnk FROM v_orders", "orders", whole=True)
 _dialect("topk", "SELECT o_orderkey, cents FROM orders ORDER BY cents DESC LIMIT ?", "SELECT o_orderkey, cents, row_number() OVER (ORDER BY cents DESC, o_orderkey) AS rnk FROM v_orders ORDER BY rnk LIMIT 25", "orders", (25,), rank=True)
 _dialect("limit_zero", "SELECT o_orderkey FROM orders LIMIT 0", "SELECT o_orderkey FROM v_orders LIMIT 0", "orders")
 _dialect("limit_implicit_pk_order", "SELECT o_orderkey, o_orderstatus FROM orders LIMIT 10", "SELECT o_orderkey, o_orderstatus FROM v_orders ORDER BY o_orderkey LIMIT 10", "orders")

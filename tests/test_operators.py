@@ -29,6 +29,16 @@ def test_query_matches_its_sql(name, spark, con):
     assert got == sorted(str(sorted(zip(names, r, strict=True))) for r in found.fetchall())
 
 
+@pytest.mark.parametrize("name, nulls_at", [("sort_all_asc_nulls_last", 10_000), ("sort_all_desc_nulls_first", 0)])
+def test_whole_tables_are_sorted_and_ranked(name, nulls_at, spark):
+    """Nulls and values both get ranks; no cap hides either."""
+    rows = QUERIES[name](spark, "/root/testdata/sf0.01").orderBy("rnk").collect()
+    assert [r.rnk for r in rows] == list(range(1, 15_001))
+    assert [i for i, r in enumerate(rows) if r.half is None] == list(range(nulls_at, nulls_at + 5_000))
+    values = [r.half for r in rows if r.half is not None]
+    assert values == sorted(values, reverse=nulls_at == 0)
+
+
 def one(spark, column):
     return spark.range(1).select(column).first()[0]
 
