@@ -308,6 +308,15 @@ def _four_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("o_orderkey", *ways)
 
 
+@_frame("sort_all_four_ways", """SELECT o_orderkey, row_number() OVER (ORDER BY half ASC NULLS FIRST, o_orderkey) AS a, row_number() OVER (ORDER BY half ASC NULLS LAST, o_orderkey) AS b,
+row_number() OVER (ORDER BY half DESC NULLS FIRST, o_orderkey) AS c, row_number() OVER (ORDER BY half DESC NULLS LAST, o_orderkey) AS d FROM v_orders""", "orders")
+def _all_four_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = view(spark, sf_dir, "orders").select("o_orderkey", "half")
+    for name, descending, nulls_first in (("a", False, True), ("b", False, False), ("c", True, True), ("d", True, False)):
+        df = ranked(df.orderBy(order_key(F.col("half"), descending, nulls_first), "o_orderkey"), name)
+    return df.drop("half")
+
+
 # changes through statements, on a store that a load has filled
 def _store(spark: SparkSession, sf_dir: str, name: str = "customer") -> Session:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessel-")

@@ -39,6 +39,14 @@ def test_whole_tables_are_sorted_and_ranked(name, nulls_at, spark):
     assert values == sorted(values, reverse=nulls_at == 0)
 
 
+def test_four_orders_rank_all_rows(spark):
+    rows = QUERIES["sort_all_four_ways"](spark, "/root/testdata/sf0.01").collect()
+    for way in "abcd":
+        assert sorted(r[way] for r in rows) == list(range(1, 15_001))
+    nulls = [r for r in rows if r.o_orderkey % 3 == 0]
+    assert max(r.a for r in nulls) == max(r.c for r in nulls) == 5_000 and min(r.b for r in nulls) == min(r.d for r in nulls) == 10_001
+
+
 def one(spark, column):
     return spark.range(1).select(column).first()[0]
 
