@@ -476,6 +476,25 @@ def test_kneser_ney_trains_on_all_trusted_text_within_the_bound(spark, monkeypat
     assert 3500 < seen[0] == docs.filter("pmod(xxhash64(doc_id), 2) = 0").count() < 4500
 
 
+def test_kneser_ney_skips_a_text_beyond_the_bound_and_no_others(spark, monkeypatch):
+    texts = ["word " * 20] * 40
+    plain = docs_of(spark, texts)
+    ids = [r.doc_id for r in plain.filter("pmod(xxhash64(doc_id), 2) = 0").collect()]
+    docs = docs_of(spark, ["word " * 20_000 if i == ids[0] else x for i, x in enumerate(texts)]).withColumn("lang", F.lit("en"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    seen, train = [], kneser_ney.train
+    monkeypatch.setattr(kneser_ney, "train", lambda rows, order: seen.append(sorted(r._id for r in rows.collect())) or train(rows, order))
+    kneser_ney.fit(docs, labels, max_chars=10_000)
+    assert seen[-1] == sorted(ids[1:])
+    one = docs.filter(F.col("doc_id") == ids[0])
+    assert kneser_ney.fit(one, labels, max_chars=10) is not None  # the only text, however long
+
+    scores, save = [], kneser_ney.save
+    monkeypatch.setattr(kneser_ney, "save", lambda df, name: scores.append(df.select("_id").collect()) or df if name == "trusted" else save(df, name))
+    kneser_ney.fit(docs, labels, max_docs=2)
+    assert {r[0] for r in scores[-1]} == set(range(40)) - set(seen[-1]) and len(seen[-1]) == 2
+
+
 # 10
 
 
