@@ -10,6 +10,7 @@ document, blank lines none of their own.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -217,22 +218,27 @@ def fit(features: np.ndarray, bounds: np.ndarray, labels: np.ndarray, steps: int
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_chars: int = MAX_TRAIN_CHARS) -> Crf | None:
     """Weights from at most max_docs labelled documents of at most max_chars characters together,
-    half of either label, taken in the order of a hash of doc_id. None if a label is missing."""
+    half of either label and of the characters for each: in the order of a hash of doc_id those that
+    still fit, or the shortest alone if none does. None, with a warning, if a label is missing."""
     ids = None
     for q in (0, 1):
         of = labels.filter((F.col("quality") == q) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
         of = of.orderBy(F.xxhash64("_id"), "_id").limit(max_docs // 2).withColumn("_quality", F.lit(q))
         ids = of if ids is None else ids.union(of)
     # max_docs rows bound the broadcast side
-    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(ids), "_id")
-    out = rows.select("_text", "_quality").mapInArrow(_features_of, "quality int, bounds int, chars long, features binary").toArrow().to_pylist()
-    out.sort(key=lambda r: (r["chars"], r["quality"], r["features"]))
-    kept, total = [], 0
-    for r in out:
-        if (total := total + r["chars"]) > max_chars:
-            break
-        kept.append(r)
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(ids), "_id").withColumn("_hash", F.xxhash64("_id"))
+    out = rows.select("_text", "_quality", "_hash").mapInArrow(_features_of, "quality int, hash long, bounds int, chars long, features binary").toArrow().to_pylist()
+    out.sort(key=lambda r: (r["hash"], r["chars"], r["features"]))
+    kept = []
+    for q in (0, 1):
+        of, fitting, total = [r for r in out if r["quality"] == q], [], 0
+        for r in of:
+            if total + r["chars"] <= max_chars // 2:
+                fitting.append(r)
+                total += r["chars"]
+        kept += fitting or sorted(of, key=lambda r: r["chars"])[:1]
     if len({r["quality"] for r in kept}) < 2:
+        warnings.warn("no document of one of the labels: no line labeller, every line counts as content", stacklevel=2)
         return None
     x = np.concatenate([np.unpackbits(np.frombuffer(r["features"], np.uint8), count=r["bounds"] * len(FEATURES)).reshape(-1, len(FEATURES)) for r in kept])
     n = [r["bounds"] for r in kept]
@@ -241,13 +247,13 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, ma
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        quality = batch.column(1).to_pylist()
+        quality, hashes = batch.column(1).to_pylist(), batch.column(2)
         for a, _, data, offsets in T.chunks(batch.column(0)):
             x = analyse(data, offsets)
             rows = [x.features[x.bounds[i] : x.bounds[i + 1]] for i in range(len(offsets) - 1)]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "quality": pa.array(quality[a : a + len(rows)], pa.int32()), "bounds": pa.array([len(r) for r in rows], pa.int32()),
+                    "quality": pa.array(quality[a : a + len(rows)], pa.int32()), "hash": hashes.slice(a, len(rows)), "bounds": pa.array([len(r) for r in rows], pa.int32()),
                     "chars": pa.array(x.word_chars), "features": pa.array([np.packbits(r).tobytes() for r in rows], pa.binary()),
                 }
             )

@@ -443,6 +443,21 @@ def plain_model(texts):
     return log_p
 
 
+def test_labeller_sees_long_pages_when_characters_are_cut(spark, monkeypatch):
+    """Half of the characters for each label, in hash order: neither the longest nor a whole label goes."""
+    texts = [("word " * (10 + 10 * (i % 10)) + "\n") for i in range(60)] + [("longer " * 400 + "\n")] * 60
+    docs = docs_of(spark, texts)
+    labels = docs.select("doc_id", (F.col("doc_id") >= 60).cast("int").alias("quality"))
+    seen = []
+    monkeypatch.setattr(quality_rules, "fit", lambda x, bounds, y: seen.append(y))
+    quality_rules.train(docs, labels, max_chars=20_000)
+    assert set(seen[0]) == {0, 1}
+    quality_rules.train(docs, labels, max_chars=1_000)  # less than one text of label 1
+    assert set(seen[1]) == {0, 1}
+    with pytest.warns(UserWarning):
+        assert quality_rules.train(docs, labels.filter("quality = 0")) is None
+
+
 def test_kneser_ney_is_exact(spark, some_texts):
     train = some_texts[::2]
     model = kneser_ney.train(docs_of(spark, train), 3)
