@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from tessel.llm import tokens as T
 from tessel.llm.components import components
-from tessel.llm.scratch import save
+from tessel.llm.scratch import batched, bit_filter, may_hold, save
 
-#: Counters of the sketch of shingle frequencies; bits of the filter of candidate sets (2**6 times as many).
-SKETCH, FILTER = 1 << 20, 1 << 18
+#: Counters of the sketch of shingle frequencies.
+SKETCH = 1 << 20
 #: Sets in a tile, shingles in a block, hub sets that are in every block of a large candidate group.
 TILE, BLOCK, HUBS = 4096, 1 << 21, 16
 #: A tile has as many bits for each shingle at least.
@@ -171,7 +171,7 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"k": at[i : i + (1 << 17)], "c": count[at[i : i + (1 << 17)]]})
 
     # SKETCH rows at most
-    got = docs.select("text").mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()
+    got = batched(docs.select("text"), run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros(SKETCH, np.int64)
     out[got["k"].to_numpy()] = got["c"].to_numpy()
     return out
@@ -204,7 +204,7 @@ def _read_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     seen.clear()
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "n": n, "node": node, "keys": pa.array(keys, pa.list_(pa.int64())), "bits": pa.array(maps, pa.binary())})
 
-    return save(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, node long, keys array<long>, bits binary"), "sets")
+    return save(batched(docs.select("doc_id", "text"), run, f"doc_id {kind}, n long, node long, keys array<long>, bits binary"), "sets")
 
 
 def _tile_edges(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -248,17 +248,13 @@ def _candidates(sets: DataFrame, percent: int) -> DataFrame:
     bits = sets.filter("bits is not null").groupBy("node").agg(F.first("bits").alias("bits"))
     tiles = small.join(at.select("key", "least", "most"), "key").select(F.explode(tile).alias("tile"), "key", "node", "n").join(bits, "node").select("tile", "key", "node", "n", "bits")
     tiles = tiles.repartition("tile", "key").sortWithinPartitions("tile", "key", "n", "node")
-    return large.union(tiles.mapInArrow(_tile_edges(percent), "a long, b long"))
+    return large.union(batched(tiles, _tile_edges(percent), "a long, b long"))
 
 
 def _arrays(docs: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
     """node, keys: the sorted shingles of the sets in nodes, one row a node. Other sets are left out
     where they are read, but for the filter's false hits."""
-    filter_nodes = nodes.select("node", F.xxhash64("node").alias("h"))
-    words = filter_nodes.groupBy(F.shiftrightunsigned("h", 46).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("w")).toArrow()
-    bits = np.zeros(FILTER, np.uint64)
-    bits[words["k"].to_numpy()] = words["w"].to_numpy().view(np.uint64)
-    held = docs.sparkSession.sparkContext.broadcast(bits)
+    held = docs.sparkSession.sparkContext.broadcast(bit_filter(nodes.select(F.xxhash64("node"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -266,10 +262,9 @@ def _arrays(docs: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
             for _, _, data, offsets in T.chunks(batch.column(0)):
                 key, bounds = shingle_sets(data, offsets, k)
                 node = set_ids(key, bounds)
-                h = _xxhash64_long(node)
-                hit = (held.value[(h >> np.uint64(46)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1)
+                hit = may_hold(held.value, _xxhash64_long(node))
                 out_node, out_keys = [], []
-                for i in np.flatnonzero((hit > 0) & (np.diff(bounds) > 0)):
+                for i in np.flatnonzero(hit & (np.diff(bounds) > 0)):
                     if int(node[i]) not in seen:
                         seen.add(int(node[i]))
                         out_node.append(node[i])
@@ -279,7 +274,7 @@ def _arrays(docs: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
                 if out_node:
                     yield pa.RecordBatch.from_pydict({"node": pa.array(T.signed(np.array(out_node, np.uint64))), "keys": pa.array(out_keys, pa.binary())})
 
-    return docs.select("text").mapInArrow(run, "node long, keys binary")
+    return batched(docs.select("text"), run, "node long, keys binary")
 
 
 def _xxhash64_long(x: np.ndarray, seed: int = 42) -> np.ndarray:
@@ -355,7 +350,7 @@ def links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _in_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    return rows.repartition("grp", "block").sortWithinPartitions("grp", "block").mapInArrow(_block_edges(percent), "a long, b long")
+    return batched(rows.repartition("grp", "block").sortWithinPartitions("grp", "block"), _block_edges(percent), "a long, b long")
 
 
 def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm.scratch import save
+from tessel.llm.scratch import free, save
 
 SEED = "mix-1"
 #: A source's weight is its number of documents to this power: below 1, small sources are repeated.
@@ -58,19 +58,20 @@ def cumulative(rate: Column) -> Column:
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = EXPONENT, expansion: float = EXPANSION, seed: str = SEED) -> DataFrame:
-    """The rows of docs as many times as drawn, with all their columns, _copy (from 1) and _place,
-    by which they are globally ordered. Null sources are one source, null ids one id; equal rows
-    draw alike. Rows whose draw is 0 have no copy."""
-    table = rates(docs, weights, exponent, expansion).select(F.col("source").alias("_source"), cumulative(F.col("rate")).alias("_sums"))
+    """The rows of docs as many times as drawn, with all their columns and two more after them: _copy
+    (from 1) and _place, by which they are globally ordered; where docs has a column of such a name,
+    it gets underscores more. Null sources are one source, null ids one id; equal rows draw alike.
+    Texts, null or of any length, are only carried along. Rows whose draw is 0 have no copy."""
+    source, sums, n, copy, place = (free(docs.columns, c) for c in ("_source", "_sums", "_n", "_copy", "_place"))
+    table = rates(docs, weights, exponent, expansion).select(F.col("source").alias(source), cumulative(F.col("rate")).alias(sums))
     table = save(table, "rates")
     # few sources go to every task; more than that meet the rows in a join that splits hot ones
     table = F.broadcast(table) if table.count() <= MAX_BROADCAST_SOURCES else table
-    drawn = docs.join(table, F.coalesce(docs["source"], F.lit("")) == table["_source"])
     u = uniform(F.lit(seed), docs["doc_id"])
-    copies = F.size(F.filter("_sums", lambda c: c <= u))
-    each = drawn.select(*(docs[c] for c in docs.columns), F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))).alias("_copy"))
-    placed = each.withColumn("_place", uniform(F.lit(seed + "-order"), each["doc_id"], each["_copy"]))
-    return placed.orderBy("_place", "doc_id", "_copy")
+    drawn = docs.join(table, F.coalesce(docs["source"], F.lit("")) == table[source]).withColumn(n, F.size(F.filter(table[sums], lambda c: c <= u))).drop(source, sums)
+    each = drawn.filter(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(n)
+    placed = each.withColumn(place, uniform(F.lit(seed + "-order"), each["doc_id"], each[copy]))
+    return placed.orderBy(place, "doc_id", copy)
 
 
 def op5_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

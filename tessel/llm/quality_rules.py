@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import tokens as T
+from tessel.llm.scratch import batched, place_of
 
 #: Labelled documents, and characters of text in them, that the weights are fitted on at most.
 MAX_TRAIN_DOCS, MAX_TRAIN_CHARS = 1500, 8_000_000
@@ -289,22 +290,22 @@ def assess(docs: DataFrame, crf: Crf | None) -> DataFrame:
                 cols = [ids, *map(pa.array, (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, failed, share, kept))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *(c.split()[0] for c in COLUMNS.split(", "))])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {COLUMNS}")
+    return batched(docs.select("doc_id", "text"), run, f"doc_id {kind}, {COLUMNS}")
 
 
 def keep(docs: DataFrame, crf: Crf | None) -> DataFrame:
-    """The rows of docs whose text is kept, with all their columns; the rest go. One pass, no shuffle."""
-    names = docs.columns
-    at = len(names)
+    """The rows of docs whose text is kept, with all their columns, whatever their names and types;
+    the rest go. A null, empty or blank text goes. Rows with null or repeated ids are rows of their
+    own. One pass, no shuffle."""
+    at = place_of(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [judge(analyse(data, offsets), crf)[2] for _, _, data, offsets in T.chunks(batch.column(at))]
             if kept:
-                rows = pa.RecordBatch.from_arrays(batch.columns[:at], names=names)
-                yield rows.filter(pa.array(np.concatenate(kept)))
+                yield batch.filter(pa.array(np.concatenate(kept)))
 
-    return docs.select("*", docs["text"].alias("_text")).mapInArrow(run, docs.schema)
+    return batched(docs, run, docs.schema)
 
 
 def op7_crf_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,19 @@
-"""Tables written to the folder that all executors share."""
+"""Tables written to the folder that all executors share, and passes over Arrow batches of bounded bytes."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Words of 64 bits in a filter.
+FILTER = 1 << 18
+#: Bytes of an Arrow batch that a Python worker gets at once; a row larger than that comes alone.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,3 +42,41 @@ def drop(df: DataFrame) -> None:
     for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def batched(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow with batches of BATCH_BYTES at most, so that a worker's memory doesn't follow the
+    length of the rows. Lowers spark.sql.execution.arrow.maxBytesPerBatch of the session if it is higher."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(key)).lower().removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def free(columns: list[str], name: str) -> str:
+    """name, with underscores after it until none of columns is called so in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def place_of(df: DataFrame, name: str) -> int:
+    """The place of the column that df[name] is."""
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
+def bit_filter(hashes: DataFrame) -> np.ndarray:
+    """FILTER words of 64 bits that tell which longs may be in the only column of hashes: bits are set
+    by their 18 highest and 6 lowest bits. FILTER rows at most come to the driver."""
+    by_word = hashes.toDF("h").groupBy(F.shiftrightunsigned("h", 46).alias("k"))
+    got = by_word.agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("w")).toArrow()
+    bits = np.zeros(FILTER, np.uint64)
+    bits[got["k"].to_numpy()] = got["w"].to_numpy().view(np.uint64)
+    return bits
+
+
+def may_hold(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the unsigned hashes may be among those of the filter; never wrong about one that is."""
+    return (bits[(h >> np.uint64(46)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) > 0

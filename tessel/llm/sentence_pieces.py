@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tessel.llm import tokens as T
+from tessel.llm.scratch import batched
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -176,7 +177,7 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
                 ids, bounds = encoder.encode(data, offsets)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return batched(docs.select("doc_id", "text"), run, f"doc_id {kind}, ids array<int>")
 
 
 def with_text(encoded: DataFrame, v: Vocabulary) -> DataFrame:
@@ -197,7 +198,7 @@ def with_text(encoded: DataFrame, v: Vocabulary) -> DataFrame:
                 a = b
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{schema}, text string")
+    return batched(encoded, run, f"{schema}, text string")
 
 
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tessel.llm import tokens as T
+from tessel.llm.scratch import batched
 
 #: One piece a line, in base64, and its rank. A leading blank marks the start of a word.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -124,7 +125,7 @@ def count_tokens(docs: DataFrame, automaton: Automaton) -> DataFrame:
                 total = np.bincount(owner, each, b - a).astype(np.int64) + unknown
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "n_words": t.counts, "n_tokens": total, "n_unknown": unknown})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_tokens long, n_unknown long")
+    return batched(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_words long, n_tokens long, n_unknown long")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-BLOCK = 1 << 20
+#: Bytes of text that are scanned at once.
+BLOCK = 1 << 18
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _TABLE = np.random.Generator(np.random.PCG64(20240917)).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
@@ -129,7 +130,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Tokens:
     return Tokens(s, e, h, np.searchsorted(s, offsets))
 
 
-def chunks(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row bounds, bytes and offsets of runs of rows of about size bytes; a longer text is a run of its own."""
     data, offsets = text_bytes(column)
     a, n = 0, len(offsets) - 1
