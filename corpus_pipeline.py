@@ -34,7 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to their sources' target weights, in a global random order."""
-    return mixing.replicate(docs).select(*(F.col(c) for c in docs.columns))
+    out = mixing.replicate(docs)
+    return out.drop(*out.columns[len(docs.columns) :])
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
