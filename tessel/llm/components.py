@@ -13,8 +13,8 @@ from tessel.llm.scratch import drop, save
 
 #: Edges that a task contracts at once before they are shuffled.
 CONTRACT = 1 << 20
-#: So many edges, 4 MB, are finished in one task; a round of stars costs more than that.
-FEW = 1 << 18
+#: So many edges, 256 kB, are finished in one task; a round of stars costs more than that.
+FEW = 1 << 14
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

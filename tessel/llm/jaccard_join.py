@@ -5,12 +5,13 @@
    shingles of one set only are dropped, and of shingles with the same sets one is enough.
 3. The sets at a shingle form tiles by size band; in a tile the bit counts of hashed bitmaps bound
    the overlap from above. What survives gives candidate groups.
-4. In a candidate group, split in blocks of bounded bytes, sets that pass the bit bound are
-   compared by exact intersection of sorted arrays.
+4. In a candidate group, cut by size band into blocks of bounded bytes, sets that pass the bit
+   bound are compared by exact intersection of sorted arrays.
 
 Tiles and blocks send on the edges of a spanning forest, never all pairs: a set that has been
 reached is not compared again. The common order of shingles comes from a sketch of fixed size over
-all texts; any order gives the same links.
+all texts; any order gives the same links. Texts that are mutually unlinked but share rare shingles
+in great number are the worst case: chunks of them meet all parts of their size bands.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.llm import tokens as T
 from tessel.llm.components import components
-from tessel.llm.scratch import batched, bit_filter, may_hold, save
+from tessel.llm.scratch import batched, bit_filter, drop, may_hold, save
 
 #: Counters of the sketch of shingle frequencies.
 SKETCH = 1 << 20
@@ -160,15 +161,19 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
+    """Counts of shingles by hash, of those that stand out in some task: a task sends the counters that
+    are two deviations above its mean, so what it sends doesn't grow with the sketch. Other shingles
+    are as rare as can be told, and come in the order of their hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros(SKETCH, np.int64)
         for batch in batches:
             for _, _, data, offsets in T.chunks(batch.column(0)):
                 key, _ = shingle_sets(data, offsets, k)
-                count += np.bincount((key >> np.uint64(44)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH)
-        at = np.flatnonzero(count)
-        for i in range(0, len(at), 1 << 17):
-            yield pa.RecordBatch.from_pydict({"k": at[i : i + (1 << 17)], "c": count[at[i : i + (1 << 17)]]})
+                np.add.at(count, (key >> np.uint64(44)).astype(np.int64) & (SKETCH - 1), 1)
+        mean = count.mean()
+        at = np.flatnonzero(count > mean + 2 * np.sqrt(mean) + 1)
+        yield pa.RecordBatch.from_pydict({"k": at, "c": count[at] - int(mean)})
 
     # SKETCH rows at most
     got = batched(docs.select("text"), run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).toArrow()
@@ -226,13 +231,24 @@ def _tile_edges(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
+def _band(n: Column, percent: int) -> Column:
+    return F.floor(F.log(n) / F.log(F.lit(100.0 / percent)) + 1e-9)
+
+
 def _candidates(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between nodes, whose components hold all links."""
+    """Edges (a, b) between nodes, whose components hold all links. Saved.
+
+    The sets at a key beyond TILE are linked tile by tile without bitmaps: most are copies of one
+    text, and the exact comparison that follows sorts out the rest."""
     rows = sets.filter("keys is not null").select(F.explode("keys").alias("key"), "node", "n")
     shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high").select("key")
     rows = save(rows.join(shared, "key").distinct(), "prefixes")
-    rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("low")), "key")
-    large = rows.filter(F.col("size") > TILE).filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("size")), "key")
+    # sets that link are in one size band or in neighbours: a tile is two neighbouring bands at a key
+    band = lambda n: _band(n, percent)
+    hot = rows.filter(F.col("size") > TILE).select("key", "node", F.explode(F.array(band(F.col("n")) - 1, band(F.col("n")))).alias("tile"))
+    ends = hot.groupBy("key", "tile").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high")
+    large = hot.join(ends, ["key", "tile"]).filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     # of a key's nodes in order of size, one can only link if a neighbour is near enough in size
     by = Window.partitionBy("key").orderBy("n", "node")
     near = lambda less, more: F.coalesce(100 * less >= percent * more, F.lit(False))
@@ -241,14 +257,13 @@ def _candidates(sets: DataFrame, percent: int) -> DataFrame:
     # of keys with the same nodes one is enough
     at = small.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("all"), F.min("n").alias("least"), F.max("n").alias("most"))
     at = at.groupBy("size", "low", "high", "all").agg(F.min("key").alias("key"), F.min("least").alias("least"), F.max("most").alias("most"))
-    # sets that link are in one size band or in neighbours: a tile is two neighbouring bands at a key
-    band = lambda n: F.floor(F.log(n) / F.log(F.lit(100.0 / percent)) + 1e-9)
     own, low, high = band(F.col("n")), band(F.col("least")), band(F.col("most"))
     tile = F.when(high - low <= 1, F.array(low)).otherwise(F.array(own - 1, own))
     bits = sets.filter("bits is not null").groupBy("node").agg(F.first("bits").alias("bits"))
     tiles = small.join(at.select("key", "least", "most"), "key").select(F.explode(tile).alias("tile"), "key", "node", "n").join(bits, "node").select("tile", "key", "node", "n", "bits")
     tiles = tiles.repartition("tile", "key").sortWithinPartitions("tile", "key", "n", "node")
-    return large.union(batched(tiles, _tile_edges(percent), "a long, b long"))
+    # saved, so that a task of the next pass has no second Python worker
+    return save(large.union(batched(tiles, _tile_edges(percent), "a long, b long")), "candidates")
 
 
 def _arrays(docs: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
@@ -325,28 +340,49 @@ def _block_edges(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, component) of the nodes that link with another; component is the smallest node."""
-    group = save(components(_candidates(sets, percent)).withColumnRenamed("component", "grp"), "groups")
-    size = sets.filter("keys is not null").select("node", "n").distinct().join(group, "node")
-    blocks = size.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    """(node, component) of the nodes that link with another; component is the smallest node.
+
+    A candidate group beyond BLOCK shingles is cut by size band and hash. Its first pass compares each
+    part, together with hub sets of its band and the next. Every link that is missing then has an
+    end outside the largest component of the group: those sets, in chunks, meet all parts of their
+    own and neighbouring bands.
+    """
+    pairs = _candidates(sets, percent)
+    group = save(components(pairs).withColumnRenamed("component", "grp"), "groups")
+    drop(pairs)
     arrays = _arrays(docs, k, group).join(group, "node").groupBy("node").agg(F.first("grp").alias("grp"), F.first("keys").alias("keys"))
-    arrays = save(arrays.join(blocks, "grp"), "arrays")
-    # sets with the smallest hash of a large group are in each of its blocks
-    place = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), F.col("hub_of")) == 0)
-    hub_of = arrays.filter("blocks > 1").groupBy("grp").agg((F.count("*") / HUBS + 1).cast("long").alias("hub_of"))
-    rows = arrays.filter("blocks > 1").join(hub_of, "grp")
-    first = rows.select("grp", F.explode(F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(place.cast("int")))).alias("block"), "node", F.col("node").alias("label"), "keys")
-    first = first.union(arrays.filter("blocks <= 1").select("grp", F.lit(0), "node", F.col("node"), "keys"))
-    edges = save(_in_blocks(first, percent), "links")
-    found = components(edges)
-    # what is not yet one component in a large group: all pairs of its blocks
-    label = rows.select("grp", "node", "blocks", "keys").join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    open_ = label.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("grp")
-    b = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, b) * F.col("blocks") + F.greatest(o, b))
-    rest = label.join(open_, "grp").select("grp", F.explode(pair).alias("block"), "node", "label", "keys")
-    return components(edges.union(_in_blocks(rest, percent)))
+    n = (F.octet_length("keys") / 8).cast("long")
+    arrays = save(arrays.withColumn("n", n).withColumn("band", _band(F.col("n"), percent)), "arrays")
+    # parts of each band of a large group
+    large = arrays.groupBy("grp").agg(F.sum("n").alias("all")).filter(F.col("all") > BLOCK).select("grp")
+    slots = arrays.select("grp", "band", "n").join(large, "grp").groupBy("grp", "band").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"), (F.count("*") / HUBS + 1).cast("long").alias("hub_of"))
+    slots = save(slots, "slots")
+    beside = lambda t, by, *cols: t.select("grp", F.explode(F.array(*(F.col("band") + i for i in by))).alias("band"), *cols)
+    below = beside(slots, [1], F.col("parts").alias("below"))
+    rows = arrays.join(slots.join(below, ["grp", "band"], "left"), ["grp", "band"], "left")
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    block = lambda band, part: band * (1 << 24) + part
+    every = lambda band, parts: F.transform(F.sequence(F.lit(0), parts - 1), lambda j: block(band, j))
+    hub = F.pmod(F.xxhash64("node", F.lit(1)), F.col("hub_of")) == 0
+    some = F.concat(every(F.col("band"), F.col("parts")), F.when(F.col("below").isNull(), F.array().cast("array<bigint>")).otherwise(every(F.col("band") - 1, F.col("below"))))
+    to = F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("long"))).when(hub, some).otherwise(F.array(block(F.col("band"), own)))
+    edges = save(_in_blocks(rows.select("grp", F.explode(to).alias("block"), "node", F.col("node").alias("label"), "keys"), percent), "links")
+    if slots.isEmpty():
+        return components(edges)
+    found = save(components(edges), "components")
+    label = arrays.join(slots, ["grp", "band"]).join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    top = label.groupBy("grp", "label").agg(F.count("*").alias("sets")).groupBy("grp").agg(F.max_by("label", F.struct("sets", "label")).alias("top"))
+    rest = label.join(top, "grp").filter("label != top").select("grp", "band", "node", "label", "n", "keys")
+    chunks = rest.groupBy("grp", "band").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("chunks"))
+    chunks = save(chunks, "chunks")
+    # a block: a part of a band, and a chunk of the rest of the same or a neighbouring band
+    name = lambda band, part, of, chunk: F.xxhash64(band, part, of, chunk)
+    met = beside(chunks, [-1, 0, 1], F.col("band").alias("of"), "chunks").select("grp", "band", "of", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    wide = label.join(met, ["grp", "band"]).select("grp", name(F.col("band"), own, F.col("of"), F.col("chunk")).alias("block"), "node", "label", "keys")
+    at = beside(slots, [-1, 0, 1], F.col("band").alias("to"), "parts").select("grp", "band", "to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    chunk = F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")).cast("int")
+    narrow = rest.join(chunks, ["grp", "band"]).join(at, ["grp", "band"]).select("grp", name(F.col("to"), F.col("part"), F.col("band"), chunk).alias("block"), "node", "label", "keys")
+    return components(save(edges.union(_in_blocks(wide.union(narrow), percent)), "links"))
 
 
 def _in_blocks(rows: DataFrame, percent: int) -> DataFrame:
@@ -375,10 +411,15 @@ def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs with all their columns, but of each group of linked texts only the row with
-    the smallest doc_id. Rows that share that id stay together, and so do rows without ids."""
-    found = classes(docs, k, percent)
-    kept = found.filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    the smallest doc_id. Rows that share that id stay together. Rows without an id can't be told
+    apart by it: all of them stay if one of them stands for its group, having no text or linking
+    with no row that has an id."""
+    found = save(classes(docs, k, percent), "classes")
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    if found.filter("doc_id is null and component_id is null").isEmpty():
+        return named
+    return named.union(docs.filter(docs["doc_id"].isNull()))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
