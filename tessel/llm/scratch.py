@@ -30,9 +30,15 @@ def fresh(spark: SparkSession, name: str) -> str:
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table and read back, which cuts its lineage."""
-    spark = df.sparkSession
-    df.write.parquet(path := fresh(spark, name))
+    """df written as a table and read back, which cuts its lineage; the shuffle files of the write are
+    removed when it is done."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path := fresh(spark, name))
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
