@@ -2,8 +2,14 @@
 
 Blanks become markers that start words, one more blank before the text; a line feed is a word of
 its own. The distinct marked words of a run of texts are sorted, which lays them out as a trie in
-depth-first order, and forward scores up to the prefix shared with the word before are kept. What
+depth-first order, and forward states up to the prefix shared with the word before are kept. What
 no piece covers becomes byte pieces, so decoding gives back every text exactly.
+
+The public model is of the merging kind: its scores are ranks of merges, and their sums along a
+path say nothing. The forward score of a path is therefore 0 while the model's merges leave each
+two neighbouring pieces of it apart, and minus infinity otherwise. A sequence of pieces is the
+model's own encoding just when this holds for all neighbours, so one path into each prefix
+survives, and the segmentation is that of the model's own encoder.
 """
 
 from __future__ import annotations
@@ -16,59 +22,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tessel.llm import tokens as T
-from tessel.llm.scratch import batched
+from tessel.llm.scratch import batched, free, place_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Distinct words whose pieces a task remembers.
-REMEMBER = 1 << 17
+#: Distinct words whose pieces a task remembers, and pairs of pieces whose merging it remembers.
+REMEMBER, REMEMBER_PAIRS = 1 << 17, 1 << 18
 #: Bytes of text, and ids, that are worked on at once.
-TEXT_RUN, ID_RUN = 1 << 20, 1 << 18
-#: A byte piece costs so much more than the worst piece.
-BYTE_COST = 1e5
+TEXT_RUN, ID_RUN = 1 << 19, 1 << 18
+
+_START, _UNKNOWN = -1, -2  # before the first piece; a character that no piece has
 
 
 @dataclass
 class Vocabulary:
-    """child: node * 256 + byte to node; piece and score by node, -1 for none; byte_id by byte; text and size by id."""
+    """child: node * 256 + byte to node; piece by node, -1 for none; rank: score by text of a piece;
+    byte_id by byte; text and size by id."""
 
     child: dict[int, int]
     piece: list[int]
-    score: list[float]
+    rank: dict[bytes, float]
     byte_id: list[int]
-    byte_score: float
     flat: np.ndarray = field(repr=False)
     first: np.ndarray = field(repr=False)
     size: np.ndarray = field(repr=False)
 
+    def text(self, i: int) -> bytes:
+        return self.flat[self.first[i] : self.first[i] + self.size[i]].tobytes()
+
+    def merged(self, text: bytes) -> list[bytes]:
+        """What merging neighbours makes of the characters of a short text: the best first, of equal ones the leftmost."""
+        rank, at = self.rank, [x.encode() for x in text.decode()]
+        while True:
+            best, place = None, 0
+            for i in range(len(at) - 1):
+                x = rank.get(at[i] + at[i + 1])
+                if x is not None and (best is None or x > best):
+                    best, place = x, i
+            if best is None:
+                return at
+            at[place : place + 2] = [at[place] + at[place + 1]]
+
+    def apart(self, a: int, b: int) -> bool:
+        """Whether merging leaves the pieces a and b as they are, side by side. a may be _START or _UNKNOWN."""
+        own = self.text(b)
+        return self.merged(own) == [own] if a < 0 else self.merged(self.text(a) + own) == [self.text(a), own]
+
 
 def vocabulary(pieces: list[tuple[str, float]], byte_ids: list[int]) -> Vocabulary:
-    """pieces: by id, with markers for blanks and scores, "" for an id that stands for no text or for a byte."""
+    """pieces: by id, with markers for blanks and scores, "" for an id that stands for no text or for
+    a byte. A piece with a blank after another character, or a line feed, can't be: words are cut there."""
     child: dict[int, int] = {}
-    piece, score = [-1], [0.0]
+    piece, rank = [-1], {}
     texts = [text.replace(MARK, " ").encode() for text, _ in pieces]
     for i, raw in enumerate(texts):
-        if not raw or b" " in raw[1:] or b"\n" in raw:
-            continue  # words have their marker at the start
-        node = 0
+        if b" " in raw.lstrip(b" ") or b"\n" in raw:
+            raise ValueError(f"piece {i} has a blank within it or a line feed")
+        if not raw or raw in rank:
+            continue
+        node, rank[raw] = 0, pieces[i][1]
         for b in raw:
             to = child.get(node * 256 + b)
             if to is None:
                 to = child[node * 256 + b] = len(piece)
                 piece.append(-1)
-                score.append(0.0)
             node = to
-        if piece[node] < 0 or pieces[i][1] > score[node]:
-            piece[node], score[node] = i, pieces[i][1]
-    worst = min((s for n, s in zip(piece, score, strict=True) if n >= 0), default=0.0)
+        piece[node] = i
     for b, i in enumerate(byte_ids):
         texts[i] = bytes([b])
     size = np.array([len(t) for t in texts])
-    return Vocabulary(child, piece, score, byte_ids, worst - BYTE_COST, np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, size)
+    return Vocabulary(child, piece, rank, byte_ids, np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, size)
 
 
 def read_model(path: str = MODEL) -> Vocabulary:
-    """The pieces of a model file that has byte pieces."""
+    """The pieces of a model file that has byte pieces and merges."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -78,41 +105,59 @@ def read_model(path: str = MODEL) -> Vocabulary:
     return vocabulary([("" if i in special else m.id_to_piece(i), m.get_score(i)) for i in range(n)], byte_ids)
 
 
-def segment(words: list[bytes], v: Vocabulary) -> list[list[int]]:
-    """The ids of each of the sorted words: the pieces of the highest total score; of equal ones, the
-    one whose last pieces are longest."""
-    child, piece, score, byte_id, byte_score = v.child, v.piece, v.score, v.byte_id, v.byte_score
-    best, back, via = [0.0], [0], [0]  # by depth: forward score, where its last piece starts, that piece
-    active: list[list[tuple[int, int]]] = [[]]  # by depth: pieces under way, as trie node and start
+def segment(words: list[bytes], v: Vocabulary, pairs: dict[int, bool] | None = None) -> list[list[int]]:
+    """The ids of each of the sorted words. pairs: what is known of pairs of pieces, added to."""
+    child, piece, byte_id, apart = v.child, v.piece, v.byte_id, v.apart
+    pairs = {} if pairs is None else pairs
+    # by depth: the last piece of the prefix, where it starts, bytes missing to a whole character
+    via, back, missing = [_START], [0], [0]
+    active: list[list[tuple[int, int]]] = [[]]  # by depth: pieces under way, as trie node and start, longest first
     out, last = [], b""
     for word in words:
         depth, most = 0, min(len(word), len(last))
         while depth < most and word[depth] == last[depth]:
             depth += 1
-        del best[depth + 1 :], back[depth + 1 :], via[depth + 1 :], active[depth + 1 :]
+        del via[depth + 1 :], back[depth + 1 :], missing[depth + 1 :], active[depth + 1 :]
         for d in range(depth, len(word)):
-            byte = word[d]
-            top, start, by = best[d] + byte_score, d, byte_id[byte]
-            going = []
+            byte, going = word[d], []
             for node, s in active[d]:
                 to = child.get(node * 256 + byte)
                 if to is not None:
                     going.append((to, s))
-                    if piece[to] >= 0 and (x := best[s] + score[to]) > top:
-                        top, start, by = x, s, piece[to]
-            to = child.get(byte)
-            if to is not None:
-                going.append((to, d))
-                if piece[to] >= 0 and (x := best[d] + score[to]) > top:
-                    top, start, by = x, d, piece[to]
-            best.append(top)
-            back.append(start)
+            if missing[d]:
+                more = missing[d] - 1
+            else:
+                more = 0 if byte < 0xC0 else 1 if byte < 0xE0 else 2 if byte < 0xF0 else 3
+                to = child.get(byte)
+                if to is not None:
+                    going.append((to, d))
+            by, start = _UNKNOWN, d
+            if not more:
+                for to, s in going:
+                    i = piece[to]
+                    if i >= 0:
+                        key = via[s] << 32 | i
+                        ok = pairs.get(key)
+                        if ok is None:
+                            ok = pairs[key] = apart(via[s], i)
+                        if ok:
+                            by, start = i, s
+                            break
+                else:
+                    while missing[start]:
+                        start -= 1
             via.append(by)
+            back.append(start)
+            missing.append(more)
             active.append(going)
         ids, at = [], len(word)
         while at:
-            ids.append(via[at])
-            at = back[at]
+            start = back[at]
+            if via[at] >= 0:
+                ids.append(via[at])
+            else:
+                ids.extend(byte_id[b] for b in reversed(word[start:at]))
+            at = start
         ids.reverse()
         out.append(ids)
         last = word
@@ -123,26 +168,31 @@ class Encoder:
     """Encodes runs of texts, remembering words."""
 
     def __init__(self, v: Vocabulary) -> None:
-        self.v, self.known = v, {}
+        self.v, self.known, self.pairs = v, {}, {}
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the bounds of each text's."""
         if len(self.known) > REMEMBER:
             self.known = {}
+        if len(self.pairs) > REMEMBER_PAIRS:
+            self.pairs = {}
         some = np.flatnonzero(np.diff(offsets) > 0)
         data = np.insert(data, offsets[some], 0x20)  # the marker before a text
         added = np.zeros(len(offsets), np.int64)
         added[some + 1] = 1
         offsets = offsets + np.cumsum(added)
+        # a word starts where a run of blanks does, and at a line feed and after it
         opens = (data == 0x20) | (data == 0x0A)
+        opens[1:] &= (data[1:] == 0x0A) | (data[:-1] != 0x20)
         opens[1:] |= data[:-1] == 0x0A
+        opens[offsets[:-1][np.diff(offsets) > 0]] = True
         start = np.flatnonzero(opens)
         end = np.append(start[1:], len(data))[: len(start)]
         hashes = T.span_hashes(data, start, end)
         h, at, of = np.unique(hashes, return_index=True, return_inverse=True)
         keys, known = h.tolist(), self.known
         new = sorted((data[start[at[i]] : end[at[i]]].tobytes(), x) for i, x in enumerate(keys) if x not in known)
-        for (_, x), ids in zip(new, segment([w for w, _ in new], self.v), strict=True):
+        for (_, x), ids in zip(new, segment([w for w, _ in new], self.v, self.pairs), strict=True):
             known[x] = ids
         each = [known[x] for x in keys]
         size = np.fromiter(map(len, each), np.int64, len(each))
@@ -181,24 +231,26 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
 
 
 def with_text(encoded: DataFrame, v: Vocabulary) -> DataFrame:
-    """encoded with the column text decoded from ids, and no other change."""
+    """encoded with a column text, or text with underscores if there is one, decoded from ids, and no
+    other change. Null or no ids are an empty text, which null texts come back as."""
     held = encoded.sparkSession.sparkContext.broadcast(v)
     names = encoded.columns
+    added, at = free(names, "text"), place_of(encoded, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(names.index("ids")).fill_null(pa.scalar([], pa.list_(pa.int32())))
+            ids = batch.column(at).fill_null(pa.scalar([], pa.list_(pa.int32())))
             bounds = ids.offsets.to_numpy()
             values, a = ids.values.to_numpy(), 0
             while a < len(batch):
                 b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + ID_RUN, "right")) - 1)
                 data, offsets = decode(values[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], held.value)
                 text = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), text], names=[*names, "text"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), text], names=[*names, added])
                 a = b
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return batched(encoded, run, f"{schema}, text string")
+    return batched(encoded, run, f"{schema}, `{added}` string")
 
 
 def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
