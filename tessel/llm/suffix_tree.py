@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -447,7 +448,7 @@ def score(rows: DataFrame, tree: Tree, counts: DataFrame, min_count: int = MIN_C
                 blocks.append(_block(tree, h, idx, place, code, depth, row.astype(np.uint64)))
                 ids = uid + np.arange(b - a)
                 yield _table(names, types, {
-                    "part": -1 - ids % parts, "uid": ids, "doc_id": batch.column(0).slice(a, b - a), "held_out": out,
+                    "part": ids % parts, "uid": ids, "doc_id": batch.column(0).slice(a, b - a), "held_out": out,
                     "n_tokens": n, "n_known": sums[0].astype(np.int64), "base": sums[1], "score": sums[2],
                 })
                 uid += b - a
@@ -465,11 +466,12 @@ def score(rows: DataFrame, tree: Tree, counts: DataFrame, min_count: int = MIN_C
             kinds = [pa.int64(), pa.int64(), pa.float64(), *(f.type for f in list(table.schema)[3:])]
             for s, e in zip(starts[:-1], starts[1:], strict=True):
                 some = table.slice(s, e - s)
-                if some["part"][0].as_py() < 0:
-                    for x in some.to_batches():
-                        yield _table(outs, kinds, {c: x[c] for c in ("uid", *outs[3:])})
+                texts = pc.is_null(some["blob"])
+                for x in some.filter(texts).to_batches():
+                    yield _table(outs, kinds, {c: x[c] for c in ("uid", *outs[3:])})
+                some, blocks, uid = some.filter(pc.invert(texts)), [], []
+                if not some.num_rows:
                     continue
-                blocks, uid = [], []
                 for base, blob in zip(some["uid"].to_pylist(), some["blob"].to_pylist(), strict=True):
                     blocks.append(Block.unpacked(blob))
                     uid.append(base + (blocks[-1].row >> np.uint64(1)).astype(np.int64))
@@ -480,7 +482,8 @@ def score(rows: DataFrame, tree: Tree, counts: DataFrame, min_count: int = MIN_C
                 yield _table(outs, kinds, {"uid": rare_of, "k": T.signed(word), "x": ratio})
 
     sent = batched(rows.select("doc_id", "text", "held_out"), send, _ROWS.format(kind=kind))
-    got = save(batched(sent.repartition("part").sortWithinPartitions("part"), learn, _OUT.format(kind=kind)), "token-scores")
+    # each part is a partition of its own
+    got = save(batched(sent.repartitionById(parts, "part"), learn, _OUT.format(kind=kind)), "token-scores")
     z = tree.total + ALPHA * (tree.distinct + 1)
     root = (F.coalesce("c", F.lit(0)) + ALPHA) / z
     rare = got.filter("k is not null").select("uid", "k", "x").join(counts, "k", "left").groupBy("uid").agg(
