@@ -10,6 +10,7 @@ document, blank lines none of their own.
 
 from __future__ import annotations
 
+import hashlib
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tessel.llm import tokens as T
 from tessel.llm.scratch import batched, place_of
@@ -226,24 +228,27 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, ma
         of = labels.filter((F.col("quality") == q) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
         of = of.orderBy(F.xxhash64("_id"), "_id").limit(max_docs // 2).withColumn("_quality", F.lit(q))
         ids = of if ids is None else ids.union(of)
-    # max_docs rows bound the broadcast side
-    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(ids), "_id").withColumn("_hash", F.xxhash64("_id"))
-    out = rows.select("_text", "_quality", "_hash").mapInArrow(_features_of, "quality int, hash long, bounds int, chars long, features binary").toArrow().to_pylist()
-    out.sort(key=lambda r: (r["hash"], r["chars"], r["features"]))
+    # max_docs rows bound the broadcast sides and what is collected first; max_chars bounds what is collected then
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    sizes = rows.join(F.broadcast(ids), "_id").groupBy("_id", "_quality").agg(F.sum(F.coalesce(F.length("_text"), F.lit(0))).alias("n")).collect()
     kept = []
     for q in (0, 1):
-        of, fitting, total = [r for r in out if r["quality"] == q], [], 0
-        for r in of:
-            if total + r["chars"] <= max_chars // 2:
+        of, fitting, total = [r for r in sizes if r["_quality"] == q], [], 0
+        for r in sorted(of, key=lambda r: hashlib.md5(str(r["_id"]).encode()).digest()):
+            if total + r["n"] <= max_chars // 2:
                 fitting.append(r)
-                total += r["chars"]
-        kept += fitting or sorted(of, key=lambda r: r["chars"])[:1]
-    if len({r["quality"] for r in kept}) < 2:
+                total += r["n"]
+        kept += [(r["_id"], q) for r in fitting or sorted(of, key=lambda r: (r["n"], str(r["_id"])))[:1]]
+    if len({q for _, q in kept}) < 2:
         warnings.warn("no document of one of the labels: no line labeller, every line counts as content", stacklevel=2)
         return None
-    x = np.concatenate([np.unpackbits(np.frombuffer(r["features"], np.uint8), count=r["bounds"] * len(FEATURES)).reshape(-1, len(FEATURES)) for r in kept])
-    n = [r["bounds"] for r in kept]
-    return fit(x, np.concatenate(([0], np.cumsum(n))), np.repeat([r["quality"] for r in kept], n))
+    chosen = docs.sparkSession.createDataFrame(kept, StructType([rows.schema["_id"], StructField("_quality", IntegerType())]))
+    found = rows.join(F.broadcast(chosen), "_id").withColumn("_hash", F.xxhash64("_id", "_text"))
+    out = batched(found.select("_text", "_quality", "_hash"), _features_of, "quality int, hash long, bounds int, features binary").toArrow().to_pylist()
+    out.sort(key=lambda r: (r["hash"], r["quality"], r["features"]))
+    x = np.concatenate([np.unpackbits(np.frombuffer(r["features"], np.uint8), count=r["bounds"] * len(FEATURES)).reshape(-1, len(FEATURES)) for r in out])
+    n = [r["bounds"] for r in out]
+    return fit(x, np.concatenate(([0], np.cumsum(n))), np.repeat([r["quality"] for r in out], n))
 
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +260,7 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict(
                 {
                     "quality": pa.array(quality[a : a + len(rows)], pa.int32()), "hash": hashes.slice(a, len(rows)), "bounds": pa.array([len(r) for r in rows], pa.int32()),
-                    "chars": pa.array(x.word_chars), "features": pa.array([np.packbits(r).tobytes() for r in rows], pa.binary()),
+                    "features": pa.array([np.packbits(r).tobytes() for r in rows], pa.binary()),
                 }
             )
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,11 +55,18 @@ def drop(df: DataFrame) -> None:
 def batched(df: DataFrame, run: Callable, schema) -> DataFrame:
     """df.mapInArrow with batches of BATCH_BYTES at most, so that a worker's memory doesn't follow the
     length of the rows. Lowers spark.sql.execution.arrow.maxBytesPerBatch of the session if it is higher."""
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        # the worker lives on for other tasks
+        pa.default_memory_pool().release_unused()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+            trim(0)
+
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = str(conf.get(key)).lower().removesuffix("b")
     if not now.isdigit() or int(now) > BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(freed, schema)
 
 
 def free(columns: list[str], name: str) -> str:
