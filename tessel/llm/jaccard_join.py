@@ -31,6 +31,8 @@ from tessel.llm.scratch import batched, bit_filter, drop, may_hold, save
 SKETCH = 1 << 20
 #: Sets in a tile, shingles in a block, hub sets that are in every block of a large candidate group.
 TILE, BLOCK, HUBS = 4096, 1 << 21, 16
+#: Up to so many ids of rows that go are broadcast, some 20 MB.
+MAX_BROADCAST_IDS = 1_000_000
 #: A tile has as many bits for each shingle at least.
 BITS = 2
 
@@ -415,11 +417,13 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     apart by it: all of them stay if one of them stands for its group, having no text or linking
     with no row that has an id."""
     found = save(classes(docs, k, percent), "classes")
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
-    if found.filter("doc_id is null and component_id is null").isEmpty():
-        return named
-    return named.union(docs.filter(docs["doc_id"].isNull()))
+    own = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    gone = found.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_gone")).agg(F.max(own).alias("own")).filter("not own").select("_gone")
+    gone = save(gone, "gone")
+    # few ids go to every task; more than that meet the rows in a join by id
+    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone
+    alone = found.filter("doc_id is null and component_id is null").isEmpty()
+    return (docs.filter(docs["doc_id"].isNotNull()) if alone else docs).join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 #: Words of 64 bits in a filter.
 FILTER = 1 << 18
 #: Bytes of an Arrow batch that a Python worker gets at once; a row larger than that comes alone.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,14 +32,14 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessel-{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table and read back, which cuts its lineage; the shuffle files of the write are
-    removed when it is done."""
+def save(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df written as a table, in folders by some columns, and read back, which cuts its lineage; the
+    shuffle files of the write are removed when it is done."""
     spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key)
     spark.conf.set(key, "true")
     try:
-        df.write.parquet(path := fresh(spark, name))
+        (df.write.partitionBy(*by) if by else df.write).parquet(path := fresh(spark, name))
     finally:
         spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -47,7 +48,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
 def drop(df: DataFrame) -> None:
     """Deletes the files of a table that save() has returned and nothing reads any more."""
     spark = df.sparkSession
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
+    for f in {re.sub(r"(/tessel-[^/]*).*", r"\1", x) for x in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

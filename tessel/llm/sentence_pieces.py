@@ -27,7 +27,7 @@ from tessel.llm.scratch import batched, free, place_of
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct words whose pieces a task remembers, and pairs of pieces whose merging it remembers.
-REMEMBER, REMEMBER_PAIRS = 1 << 17, 1 << 18
+REMEMBER, REMEMBER_PAIRS = 1 << 16, 1 << 17
 #: Bytes of text, and ids, that are worked on at once.
 TEXT_RUN, ID_RUN = 1 << 19, 1 << 18
 

@@ -559,7 +559,7 @@ def test_kneser_ney_skips_a_text_beyond_the_bound_and_no_others(spark, monkeypat
     assert kneser_ney.fit(one, labels, max_chars=10) is not None  # the only text, however long
 
     scores, save = [], kneser_ney.save
-    monkeypatch.setattr(kneser_ney, "save", lambda df, name: scores.append(df.select("_id").collect()) or df if name == "trusted" else save(df, name))
+    monkeypatch.setattr(kneser_ney, "save", lambda df, name, *by: scores.append(df.select("_id").collect()) or df if name == "trusted" else save(df, name, *by))
     kneser_ney.fit(docs, labels, max_docs=2)
     assert {r[0] for r in scores[-1]} == set(range(40)) - set(seen[-1]) and len(seen[-1]) == 2
 
