@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
@@ -35,15 +37,27 @@ class Folder:
             stream.close()
 
     def create(self, name: str, text: str) -> bool:
-        """Writes a new file; False if it exists."""
+        """Publishes a new file whole or not at all; False if it exists. The text is written beside it
+        and closed first, then takes the name: by a hard link on a local disk, else by a rename that
+        does not overwrite."""
+        at, beside = self._path(self.at(name)), self._path(self.at(f"{name}.{uuid.uuid4().hex}.tmp"))
+        out = self._fs.create(beside, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        jvm = self.spark._jvm
         try:
-            out = self._fs.create(self._path(self.at(name)), False)
+            if self._fs.getScheme() == "file":
+                local = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+                jvm.java.nio.file.Files.createLink(local(at), local(beside))
+            else:
+                files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+                files.rename(beside, at, self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
         except Py4JJavaError as e:
-            if self._fs.exists(self._path(self.at(name))):
+            if self._fs.exists(at):
                 return False
             raise e
-        out.write(bytearray(text.encode()))
-        out.close()
+        finally:
+            self._fs.delete(beside, False)
         return True
 
     def delete(self, name: str) -> None:

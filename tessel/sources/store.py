@@ -1,9 +1,10 @@
 """Versioned tables: Parquet version logs, published by an append-only log of commits.
 
-A commit writes its rows, each with the commit's index, and then creates ``commits/<index>.json``
-exclusively. That file is the only point of publication: rows that no commit file names are never
-read, and of two writers of one index one fails. Reads name their files by commit, so a snapshot
-stays what it was while others write.
+A commit writes its rows, each with the commit's index, and then publishes ``commits/<index>.json``
+exclusively and whole, with a digest of its body. That file is the only point of publication: rows
+that no commit file names are never read, and of two writers of one index one fails. Reads name
+their files by commit, so a snapshot stays what it was while others write. A last commit file that
+a failed disk has torn was never answered for; it is passed over until discard_torn() removes it.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessel.errors import ApplyError, CatalogError, EngineError, SchemaChanged, SnapshotUnavailable, TransactionAborted
+from tessel.errors import ApplyError, CatalogError, EngineError, SchemaChanged, SequenceError, SnapshotUnavailable, TransactionAborted
 from tessel.operators import versioned as V
+from tessel.operators.sequences import DUPLICATE, NEW, verdict
 from tessel.plans.bound import Table
 from tessel.sources import pinned
 from tessel.sources.catalog import Catalog
@@ -29,6 +31,7 @@ from tessel.sources.files import Folder
 #: A first version file with so many times the rows of all later ones is read as a base.
 BASE_FACTOR = 8
 MAX_ACTIVE = 4096
+OUTCOMES = ("committed", "aborted", "no_op", "duplicate", "rejected")
 
 
 @dataclass(frozen=True)
@@ -64,7 +67,7 @@ class State:
     catalog: Catalog = field(default_factory=Catalog)
     files: list[VersionFile] = field(default_factory=list)
     clients: dict[str, ClientRecord] = field(default_factory=dict)
-    counts: dict[str, int] = field(default_factory=lambda: {"committed": 0, "aborted": 0, "no_op": 0})
+    counts: dict[str, int] = field(default_factory=lambda: dict.fromkeys(OUTCOMES, 0))
 
 
 @dataclass
@@ -104,13 +107,18 @@ class Store:
 
     def _recover(self) -> State:
         """The newest checkpoint and all commits after it, which must be without a gap."""
-        state = State()
+        state, self.torn = State(), None
         for name in reversed([n for n in self.folder.names("checkpoints") if n.endswith(".json")]):
             state = _state_of(json.loads(self.folder.read(f"checkpoints/{name}")))
             break
         for name in self.folder.names("commits"):
             if name.endswith(".json") and int(name[:-5]) > state.index:
-                entry = json.loads(self.folder.read(f"commits/{name}"))
+                entry = _entry_of(self.folder.read(f"commits/{name}"))
+                if entry is None:
+                    if name != max(n for n in self.folder.names("commits") if n.endswith(".json")):
+                        raise EngineError(f"{name} is damaged")
+                    self.torn = name
+                    break
                 if entry["index"] != state.index + 1:
                     raise EngineError(f"commit {state.index + 1} is missing")
                 self._advance(state, entry)
@@ -127,10 +135,17 @@ class Store:
             state.clients[entry["client"]] = ClientRecord(entry["sequence"], entry["request_hash"], entry["result"])
 
     def _publish(self, entry: dict) -> None:
-        if not self.folder.create(f"commits/{entry['index']:020d}.json", json.dumps(entry)):
+        if not self.folder.create(f"commits/{entry['index']:020d}.json", _hashed(entry)):
             raise ApplyError(f"another writer has taken commit {entry['index']}; open the store again")
         self._advance(self.state, entry)
 
+    def discard_torn(self) -> None:
+        """Removes a torn last commit file, so that its index can be taken again."""
+        with self.lock:
+            if self.torn is not None and _entry_of(self.folder.read(f"commits/{self.torn}")) is None:
+                self.folder.delete(f"commits/{self.torn}")
+            self.torn = None
+
     # reads
 
     @staticmethod
@@ -209,10 +224,27 @@ class Store:
                     return f"table `{table.name}`, key {found[key]!r}: commit {found[V.COMMIT]} came first"
         return None
 
+    def _admission(self, attempt: Attempt) -> str:
+        if attempt.client is None or attempt.sequence is None:
+            return NEW
+        record = self.state.clients.get(attempt.client)
+        return verdict(record and record.sequence, record and record.request_hash, attempt.sequence, attempt.request_hash)
+
     def commit(self, attempt: Attempt) -> Outcome:
-        """Judges and applies an attempt at the next index. An abort takes an index too if a client
-        asked, so that its repeat gets the same answer."""
+        """Admits, judges and applies an attempt at the next index, all under the lock. An abort takes
+        an index too if a client asked, so that its repeat gets the same answer; a repeat gets the
+        recorded answer, and a request out of sequence is refused."""
         with self.lock:
+            said = self._admission(attempt)
+            if said == DUPLICATE:
+                self.state.counts["duplicate"] += 1
+                result = self.state.clients[attempt.client].result
+                if "aborted" in result:
+                    raise TransactionAborted(result["aborted"])
+                return Outcome(self.state.index, True, result)
+            if said != NEW:
+                self.state.counts["rejected"] += 1
+                raise SequenceError(said, f"request {attempt.sequence} of client `{attempt.client}` is refused: {said}")
             index = self.state.index + 1
             if (why := self._conflict(attempt)) is not None:
                 if attempt.client is not None:
@@ -244,13 +276,15 @@ class Store:
 
     def apply(self, index: int, request_hash: str, attempt: Attempt | None) -> Outcome:
         """Ordered apply of a replicated or replayed log: an index that has been applied gives its
-        recorded outcome, the next one is judged, others are errors. attempt None: consumes the
-        index and changes nothing."""
+        recorded outcome, the next one is admitted and judged, others are errors. A repeated or refused
+        request consumes its index and changes nothing, and so does attempt None."""
         with self.lock:
             if index <= self.state.index:
                 if f"{index:020d}.json" not in self.folder.names("commits"):
                     raise ApplyError(f"index {index} is below the last checkpoint")
-                entry = json.loads(self.folder.read(f"commits/{index:020d}.json"))
+                entry = _entry_of(self.folder.read(f"commits/{index:020d}.json"))
+                if entry is None:
+                    raise EngineError(f"commit {index} is damaged")
                 if entry["request_hash"] != request_hash:
                     raise ApplyError(f"index {index} was applied with another request")
                 return Outcome(index, entry["outcome"] == "committed", entry["result"])
@@ -260,6 +294,11 @@ class Store:
                 self._publish(self._entry(index, "no_op", None, [], {}) | {"request_hash": request_hash})
                 return Outcome(index, False, {})
             attempt.request_hash = request_hash
+            said = self._admission(attempt)
+            if said != NEW:
+                result = self.state.clients[attempt.client].result if said == DUPLICATE else {"rejected": said}
+                self._publish(self._entry(index, "duplicate" if said == DUPLICATE else "rejected", None, [], result) | {"request_hash": request_hash})
+                return Outcome(index, False, result)
             try:
                 return self.commit(attempt)
             except TransactionAborted as e:
@@ -308,7 +347,7 @@ class Store:
         for table in self.state.catalog.tables.values():
             self.log(table, upto=read_ts).write.parquet(out.at(f"tables/{table.id}"))
             written = self.spark.read.schema(self.log_schema(table)).parquet(out.at(f"tables/{table.id}"))
-            tables.append({"id": table.id, "rows": written.count()})
+            tables.append({"id": table.id, "rows": written.count(), "content": _content(written)})
         state = _state_json(self.state) | {"index": read_ts, "files": [], "tables": tables}
         body = json.dumps(state)
         out.create("snapshot.json", json.dumps({"sha256": hashlib.sha256(body.encode()).hexdigest(), "body": body}))
@@ -331,8 +370,8 @@ class Store:
             table = state.catalog.by_id(entry["id"])
             rows = spark.read.schema(cls.log_schema(table)).parquet(source.at(f"tables/{table.id}"))
             errors = snapshot_errors(rows, table, state.index)
-            if rows.count() != entry["rows"] or errors:
-                raise EngineError(f"table `{table.name}` of the snapshot is damaged: {errors or 'rows are missing'}")
+            if rows.count() != entry["rows"] or errors or _content(rows) != entry["content"]:
+                raise EngineError(f"table `{table.name}` of the snapshot is damaged: {errors or 'rows are missing or changed'}")
             n, keys, low, high = rows.agg(F.count("*"), F.count_distinct(table.schema.key.name), F.min(V.COMMIT), F.max(V.COMMIT)).first()
             if n:
                 rows.write.parquet(store.folder.at(f"data/{table.id}/import"))
@@ -380,6 +419,27 @@ def snapshot_errors(rows: DataFrame, table: Table, index: int) -> list[str]:
     return out
 
 
+def _hashed(x: dict) -> str:
+    body = json.dumps(x)
+    return json.dumps({"sha256": hashlib.sha256(body.encode()).hexdigest(), "body": body})
+
+
+def _entry_of(text: str) -> dict | None:
+    """None for a file that was not written to its end."""
+    try:
+        outer = json.loads(text)
+        whole = hashlib.sha256(outer["body"].encode()).hexdigest() == outer["sha256"]
+    except (ValueError, KeyError, TypeError):
+        return None
+    return json.loads(outer["body"]) if whole else None
+
+
+def _content(rows: DataFrame) -> list[str]:
+    """Two sums of the rows' hashes, whatever their order."""
+    row = [F.col(f"`{c}`") for c in rows.columns]
+    return list(rows.agg(*(F.coalesce(F.sum(F.xxhash64(F.lit(seed), *row).cast("decimal(38,0)")), F.lit(0)).cast("string") for seed in (1, 2))).first())
+
+
 def _state_json(s: State) -> dict:
     return {
         "index": s.index, "floor": s.floor, "catalog": s.catalog.to_json(), "files": [asdict(f) for f in s.files], "counts": s.counts,
@@ -388,4 +448,4 @@ def _state_json(s: State) -> dict:
 
 
 def _state_of(x: dict) -> State:
-    return State(x["index"], x["floor"], Catalog.from_json(x["catalog"]), [VersionFile(**f) for f in x["files"]], {k: ClientRecord(**v) for k, v in x["clients"].items()}, x["counts"])
+    return State(x["index"], x["floor"], Catalog.from_json(x["catalog"]), [VersionFile(**f) for f in x["files"]], {k: ClientRecord(**v) for k, v in x["clients"].items()}, dict.fromkeys(OUTCOMES, 0) | x["counts"])

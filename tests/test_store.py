@@ -9,15 +9,15 @@ from tessel.session import Session, fingerprint
 from tessel.sources.store import Store
 from tessel.types import Column, DataType, Schema
 
-ACCOUNTS = Schema((Column("id", DataType.INT64, False, True), Column("name", DataType.TEXT, False), Column("active", DataType.BOOL, False)))
+BERTHS = Schema((Column("id", DataType.INT64, False, True), Column("name", DataType.TEXT, False), Column("active", DataType.BOOL, False)))
 
 
 @pytest.fixture
 def store(spark, tmp_path):
     s = Store(spark, str(tmp_path / "store"))
     txn = s.begin()
-    txn.create_table("accounts", ACCOUNTS)
-    txn.insert("accounts", [(1, "doctor-a", True), (2, "doctor-b", True)])
+    txn.create_table("berths", BERTHS)
+    txn.insert("berths", [(1, "north", True), (2, "south", True)])
     txn.commit()
     return s
 
@@ -33,41 +33,41 @@ def rename(name):
 def test_snapshot_reads_stay_and_see_no_phantoms(store):
     old = store.begin()
     new = store.begin()
-    new.insert("accounts", [(3, "c", False)])
-    new.update("accounts", rename("x"), lambda d: d["id"] == 1)
-    new.delete("accounts", lambda d: d["id"] == 2)
+    new.insert("berths", [(3, "c", False)])
+    new.update("berths", rename("x"), lambda d: d["id"] == 1)
+    new.delete("berths", lambda d: d["id"] == 2)
     new.commit()
-    assert rows(old.table("accounts")) == [(1, "doctor-a", True), (2, "doctor-b", True)]
-    assert rows(store.table("accounts")) == [(1, "x", True), (3, "c", False)]
-    assert rows(store.table("accounts", 1)) == rows(old.table("accounts"))
+    assert rows(old.table("berths")) == [(1, "north", True), (2, "south", True)]
+    assert rows(store.table("berths")) == [(1, "x", True), (3, "c", False)]
+    assert rows(store.table("berths", 1)) == rows(old.table("berths"))
     with pytest.raises(SnapshotUnavailable):
-        store.table("accounts", 99)
+        store.table("berths", 99)
 
 
 def test_own_writes_are_seen_and_rolled_back(store):
     txn = store.begin()
-    txn.insert("accounts", [(3, "c", False)])
-    txn.delete("accounts", lambda d: d["id"] == 1)
-    assert txn.get("accounts", 1) is None and txn.get("accounts", 3) == (3, "c", False)
-    txn.insert("accounts", [(1, "again", False)])
-    assert txn.get("accounts", 1) == (1, "again", False)
+    txn.insert("berths", [(3, "c", False)])
+    txn.delete("berths", lambda d: d["id"] == 1)
+    assert txn.get("berths", 1) is None and txn.get("berths", 3) == (3, "c", False)
+    txn.insert("berths", [(1, "again", False)])
+    assert txn.get("berths", 1) == (1, "again", False)
     txn.rollback()
-    assert rows(store.table("accounts")) == [(1, "doctor-a", True), (2, "doctor-b", True)]
+    assert rows(store.table("berths")) == [(1, "north", True), (2, "south", True)]
     with pytest.raises(TransactionStateError):
-        txn.table("accounts")
+        txn.table("berths")
 
 
 def test_first_committer_wins(store):
     a, b = store.begin(), store.begin()
-    a.update("accounts", rename("a"), lambda d: d["id"] == 1)
-    b.update("accounts", rename("b"), lambda d: d["id"] == 1)
+    a.update("berths", rename("a"), lambda d: d["id"] == 1)
+    b.update("berths", rename("b"), lambda d: d["id"] == 1)
     a.commit()
     with pytest.raises(TransactionAborted) as e:
         b.commit()
     assert e.value.retryable and "key 1" in str(e.value)
     c, d = store.begin(), store.begin()
-    c.insert("accounts", [(9, "c", True)])
-    d.insert("accounts", [(9, "d", True)])
+    c.insert("berths", [(9, "c", True)])
+    d.insert("berths", [(9, "d", True)])
     c.commit()
     with pytest.raises(TransactionAborted):
         d.commit()
@@ -76,54 +76,54 @@ def test_first_committer_wins(store):
 def test_write_skew_is_permitted(store):
     a, b = store.begin(), store.begin()
     for txn, own in ((a, 1), (b, 2)):
-        assert txn.table("accounts").filter("active").count() == 2
-        txn.update("accounts", lambda d: {"active": F.lit(False)}, lambda d, own=own: d["id"] == own)
+        assert txn.table("berths").filter("active").count() == 2
+        txn.update("berths", lambda d: {"active": F.lit(False)}, lambda d, own=own: d["id"] == own)
     a.commit()
     b.commit()
-    assert store.table("accounts").filter("active").count() == 0
+    assert store.table("berths").filter("active").count() == 0
 
 
 def test_schema_change_aborts_older_writers(store):
     writer = store.begin()
     ddl = store.begin()
-    ddl.create_index("by_name", "accounts", "name")
+    ddl.create_index("by_name", "berths", "name")
     ddl.commit()
-    writer.insert("accounts", [(5, "e", True)])
+    writer.insert("berths", [(5, "e", True)])
     with pytest.raises(SchemaChanged):
         writer.commit()
     txn = store.begin()
-    assert rows(txn.lookup("accounts", "by_name", "doctor-b")) == [(2, "doctor-b", True)]
-    assert rows(txn.lookup("accounts", "BY_NAME", None)) == []
+    assert rows(txn.lookup("berths", "by_name", "south")) == [(2, "south", True)]
+    assert rows(txn.lookup("berths", "BY_NAME", None)) == []
 
 
 def test_constraints(store):
     txn = store.begin()
     for bad in ([(1, "dup", True)], [(7, "x", True), (7, "y", True)], [(8, None, True)], [(8, "x")], [(8, "x", 1)], [(True, "x", True)], [(1 << 63, "x", True)]):
         with pytest.raises(ConstraintError):
-            txn.insert("accounts", bad)
+            txn.insert("berths", bad)
     with pytest.raises(ConstraintError):
-        txn.update("accounts", lambda d: {"name": F.lit(None).cast("string")})
+        txn.update("berths", lambda d: {"name": F.lit(None).cast("string")})
     with pytest.raises(ConstraintError):
-        txn.update("accounts", lambda d: {"id": F.lit(1).cast("long")})
+        txn.update("berths", lambda d: {"id": F.lit(1).cast("long")})
     assert txn.read_only
     with pytest.raises(CatalogError):
-        txn.create_table("Accounts", ACCOUNTS)
+        txn.create_table("Berths", BERTHS)
     with pytest.raises(CatalogError):
-        txn.create_table("odd name", ACCOUNTS)
-    txn.upsert("accounts", [(1, "put", False), (4, "new", True)])
+        txn.create_table("odd name", BERTHS)
+    txn.upsert("berths", [(1, "put", False), (4, "new", True)])
     txn.commit()
-    assert rows(store.table("accounts")) == [(1, "put", False), (2, "doctor-b", True), (4, "new", True)]
+    assert rows(store.table("berths")) == [(1, "put", False), (2, "south", True), (4, "new", True)]
 
 
 def test_load_checks_keys_without_the_driver(store, spark):
     txn = store.begin()
-    make = lambda ids: spark.createDataFrame([(i, "n", True) for i in ids], ACCOUNTS.spark())
+    make = lambda ids: spark.createDataFrame([(i, "n", True) for i in ids], BERTHS.spark())
     for bad in ([1], [5, 5], [None]):
         with pytest.raises(ConstraintError):
-            txn.load("accounts", make(bad))
-    assert txn.load("accounts", make(range(10, 40))) == 30
+            txn.load("berths", make(bad))
+    assert txn.load("berths", make(range(10, 40))) == 30
     txn.commit()
-    assert store.table("accounts").count() == 32
+    assert store.table("berths").count() == 32
 
 
 def test_base_and_changes_read_alike(store, spark):
@@ -143,16 +143,16 @@ def test_base_and_changes_read_alike(store, spark):
 
 def test_recovery_needs_every_commit(store, spark):
     txn = store.begin()
-    txn.insert("accounts", [(3, "c", False)])
+    txn.insert("berths", [(3, "c", False)])
     txn.commit()
-    assert rows(Store(spark, store.folder.root).table("accounts")) == rows(store.table("accounts"))
-    stray = store.spark.createDataFrame([(99, "stray", True, 3, False)], Store.log_schema(store.state.catalog.table("accounts")))
+    assert rows(Store(spark, store.folder.root).table("berths")) == rows(store.table("berths"))
+    stray = store.spark.createDataFrame([(99, "stray", True, 3, False)], Store.log_schema(store.state.catalog.table("berths")))
     stray.write.parquet(store.folder.at("data/1/stray"))
-    assert Store(spark, store.folder.root).table("accounts").count() == 3  # no commit names it
+    assert Store(spark, store.folder.root).table("berths").count() == 3  # no commit names it
     other = Store(spark, store.folder.root)
     for s in (store, other):
         t = s.begin()
-        t.insert("accounts", [(50, "both", True)])
+        t.insert("berths", [(50, "both", True)])
         if s is store:
             t.commit()
         else:
@@ -164,7 +164,7 @@ def test_recovery_needs_every_commit(store, spark):
 
 
 def test_ordered_apply(store):
-    attempt = lambda i: (t := store.begin(), t.insert("accounts", [(i, "n", True)]), t.attempt())[2]
+    attempt = lambda i: (t := store.begin(), t.insert("berths", [(i, "n", True)]), t.attempt())[2]
     first = store.apply(2, "h2", attempt(20))
     assert first.committed and store.apply(2, "h2", None) == first
     for index, h in ((2, "other"), (5, "h5")):
@@ -175,14 +175,62 @@ def test_ordered_apply(store):
     store.apply(4, "h4", attempt(30))
     lost = store.apply(5, "h5", stale)
     assert not lost.committed and store.apply(5, "h5", None) == lost
-    assert store.table("accounts").count() == 4
+    assert store.table("berths").count() == 4
     assert store.stats()["no_op"] == 1 and store.stats()["aborted"] == 1
 
 
+def test_a_torn_last_commit_is_passed_over(store, spark):
+    root, name = store.folder.root, "commits/00000000000000000002.json"
+    whole = store.folder.read("commits/00000000000000000001.json")
+    for torn in ("", whole[: len(whole) // 2], whole.replace("north", "norths").replace('"index', '"indeX', 1)):
+        assert store.folder.create(name, torn) and not store.folder.create(name, "other")
+        again = Store(spark, root)
+        assert again.state.index == 1 and again.torn and again.table("berths").count() == 2
+        txn = again.begin()
+        txn.insert("berths", [(3, "c", True)])
+        with pytest.raises(ApplyError):
+            txn.commit()
+        again.discard_torn()
+    txn = again.begin()
+    txn.insert("berths", [(3, "c", True)])
+    assert txn.commit().index == 2 and Store(spark, root).table("berths").count() == 3
+    store.folder.delete("commits/00000000000000000001.json")
+    store.folder.create("commits/00000000000000000001.json", "")
+    with pytest.raises(EngineError):
+        Store(spark, root)  # not the last
+    assert not [n for n in store.folder.names("commits") if n.endswith(".tmp")]
+
+
+def test_requests_are_admitted_where_they_are_applied(store):
+    def ask(key, sequence, request):
+        txn = store.begin()
+        txn.insert("berths", [(key, "n", True)])
+        a = txn.attempt()
+        a.client, a.sequence, a.request_hash = "c", sequence, request
+        return a
+
+    with pytest.raises(SequenceError) as e:
+        store.commit(ask(10, 5, "h5"))
+    assert e.value.verdict == "first_not_one"
+    first = store.commit(ask(10, 1, "h1"))
+    assert store.commit(ask(11, 1, "h1")).result == first.result and store.state.index == 2
+    for sequence, request, said in ((1, "other", "hash_mismatch"), (4, "h4", "gap")):
+        with pytest.raises(SequenceError) as e:
+            store.commit(ask(12, sequence, request))
+        assert e.value.verdict == said
+    assert store.apply(3, "h1", ask(13, 1, "")).result == first.result  # a repeat uses up its index
+    assert store.apply(4, "h9", ask(14, 9, "")).result == {"rejected": "gap"}
+    assert store.apply(5, "h2", ask(15, 2, "")).committed and store.table("berths").count() == 4
+    again = Store(store.spark, store.folder.root)
+    assert (again.state.index, again.state.clients["c"].sequence) == (5, 2)
+    assert {k: store.stats()[k] for k in ("committed", "duplicate", "rejected")} == {"committed": 3, "duplicate": 2, "rejected": 4}
+    assert {k: again.stats()[k] for k in ("duplicate", "rejected")} == {"duplicate": 1, "rejected": 1}
+
+
 def test_equal_attempts_share_a_digest(store):
     def attempt(rows):
         txn = store.begin()
-        txn.insert("accounts", rows)
+        txn.insert("berths", rows)
         return txn.attempt().digest()
 
     a, b = (10, "x", True), (11, "y", False)
@@ -193,33 +241,38 @@ def test_equal_attempts_share_a_digest(store):
 def test_vacuum_keeps_what_reads_at_the_floor_need(store):
     for i in range(3):
         t = store.begin()
-        t.update("accounts", rename(f"v{i}"), lambda d: d["id"] == 1)
+        t.update("berths", rename(f"v{i}"), lambda d: d["id"] == 1)
         t.commit()
     t = store.begin()
-    t.delete("accounts", lambda d: d["id"] == 2)
+    t.delete("berths", lambda d: d["id"] == 2)
     t.commit()
-    before = {at: rows(store.table("accounts", at)) for at in (3, 4, 5)}
+    before = {at: rows(store.table("berths", at)) for at in (3, 4, 5)}
     store.vacuum(3)
-    assert {at: rows(store.table("accounts", at)) for at in (3, 4, 5)} == before
+    assert {at: rows(store.table("berths", at)) for at in (3, 4, 5)} == before
     with pytest.raises(SnapshotUnavailable):
-        store.table("accounts", 2)
+        store.table("berths", 2)
     store.vacuum(5)
-    assert rows(store.table("accounts")) == before[5] and store.stats()["tombstones"] == 0
+    assert rows(store.table("berths")) == before[5] and store.stats()["tombstones"] == 0
     again = Store(store.spark, store.folder.root)
-    assert rows(again.table("accounts")) == before[5] and again.status()["vacuum_floor"] == 5
+    assert rows(again.table("berths")) == before[5] and again.status()["vacuum_floor"] == 5
 
 
 def test_export_and_restore(store, spark, tmp_path):
     t = store.begin()
-    t.delete("accounts", lambda d: d["id"] == 2)
+    t.delete("berths", lambda d: d["id"] == 2)
     t.commit()
     store.export(str(tmp_path / "out"))
     new = Store.restore(spark, str(tmp_path / "out"), str(tmp_path / "new"))
-    assert rows(new.table("accounts")) == rows(store.table("accounts")) and rows(new.table("accounts", 1)) == rows(store.table("accounts", 1))
+    assert rows(new.table("berths")) == rows(store.table("berths")) and rows(new.table("berths", 1)) == rows(store.table("berths", 1))
     t = new.begin()
-    t.insert("accounts", [(7, "g", True)])
+    t.insert("berths", [(7, "g", True)])
     assert t.commit().index == 3
-    dup = spark.read.parquet(str(tmp_path / "out/tables/1"))
+    rows_ = spark.read.parquet(str(tmp_path / "out/tables/1"))
+    rows_.withColumn("name", F.upper("name")).write.parquet(str(tmp_path / "changed/tables/1"))
+    (tmp_path / "changed/snapshot.json").write_text((tmp_path / "out/snapshot.json").read_text())
+    with pytest.raises(EngineError, match="changed"):
+        Store.restore(spark, str(tmp_path / "changed"), str(tmp_path / "changed-new"))
+    dup = rows_
     dup.union(dup).write.parquet(str(tmp_path / "bad/tables/1"))
     (tmp_path / "bad/snapshot.json").write_text((tmp_path / "out/snapshot.json").read_text())
     with pytest.raises(EngineError):
@@ -337,7 +390,7 @@ def test_history_of_the_store_passes_the_checkers(store, spark):
             key = r.choice([1, 2])
             seen = max(c for k, c in versions if k == key and c <= txn.read_ts)
             reads.append((f"{name}{n}", key, txn.read_ts, seen, False))
-            txn.update("accounts", rename(f"{name}{n}"), lambda d, key=key: d["id"] == key)
+            txn.update("berths", rename(f"{name}{n}"), lambda d, key=key: d["id"] == key)
             try:
                 at = txn.commit().index
             except TransactionAborted:
