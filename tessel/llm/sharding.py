@@ -3,8 +3,11 @@
 Arrivals are written as small Parquet shards and never changed. Shards whose sizes lie within one
 tier, a factor of the fan-in, are merged once there are as many as the fan-in, into files of about
 the target size at most; larger tiers follow in later rounds. What the table holds is what its
-newest manifest lists. A manifest is created exclusively under its version, so of two writers one
-fails and no reader sees a half-done change; files that no manifest lists are swept later.
+newest manifest lists. A manifest is written beside its place, closed, and takes the name of the one
+version after its base exclusively, so of two writers one fails and no reader sees a half-done
+change. A manifest that a failed disk has damaged stops the table until recover() removes it.
+Files that only swept manifests list go with them; files that none lists may be another writer's
+and go when they are old. Nulls, repeated rows and rows of any length are only carried along.
 """
 
 from __future__ import annotations
@@ -12,24 +15,31 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from tessel.llm.scratch import fresh
+from tessel.sources.files import Folder
 
 #: Size of a finished file, shards of a tier that are merged, rows of an arriving shard.
 TARGET_BYTES, FAN_IN, ARRIVAL_ROWS = 128 << 20, 8, 1024
 BASE_BYTES = 64 << 10
+#: Seconds after which a file that no manifest lists is no writer's any more.
+GRACE = 24 * 3600
 
 
 class CommitConflict(Exception):
     """Another writer has committed this version first."""
 
 
+class DamagedManifest(Exception):
+    """The newest manifest is not whole."""
+
+
 @dataclass(frozen=True)
 class Shard:
     path: str  # below the table's folder
@@ -48,7 +58,7 @@ class Manifest:
 
     @staticmethod
     def parse(text: str) -> Manifest | None:
-        """None for a manifest whose writer was lost before its end."""
+        """None for a manifest that is not whole."""
         try:
             outer = json.loads(text)
             if hashlib.sha256(outer["body"].encode()).hexdigest() != outer["sha256"]:
@@ -80,44 +90,49 @@ class ShardedTable:
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._folder = Folder(spark, self.root)
 
-    def _list(self, folder: str) -> list[tuple[str, int]]:
+    def _list(self, folder: str) -> list[tuple[str, int, float]]:
+        """Name, bytes and time of change of what a folder holds."""
         at = self._path(f"{self.root}/{folder}")
-        return [(s.getPath().getName(), s.getLen()) for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return [(s.getPath().getName(), s.getLen(), s.getModificationTime() / 1000) for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
+    def _versions(self) -> list[int]:
+        return sorted(int(n[:-5]) for n, _, _ in self._list("manifests") if n.endswith(".json"))
 
     def current(self, version: int | None = None) -> Manifest:
-        """The newest whole manifest, or that of a version; version 0 of a new table has no shards."""
-        names = sorted((int(n[:-5]) for n, _ in self._list("manifests") if n.endswith(".json")), reverse=True)
-        for v in names:
-            if version is None or v == version:
-                stream = self._fs.open(self._path(f"{self.root}/manifests/{v:020d}.json"))
-                text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-                stream.close()
-                if (m := Manifest.parse(text)) is not None:
-                    return m
-        if version:
+        """The newest manifest, or that of a version; version 0 of a new table has no shards."""
+        versions = self._versions()
+        if version and version not in versions:
             raise ValueError(f"no version {version}")
-        return Manifest(0, "", ())
+        v = version or max(versions, default=0)
+        if not v:
+            return Manifest(0, "", ())
+        if (m := Manifest.parse(self._folder.read(f"manifests/{v:020d}.json"))) is None:
+            raise DamagedManifest(f"version {v} is damaged")
+        return m
+
+    def recover(self) -> int:
+        """Removes a newest manifest that is not whole; the version that is newest then. Its rows were
+        never answered for."""
+        while (versions := self._versions()) and Manifest.parse(self._folder.read(f"manifests/{versions[-1]:020d}.json")) is None:
+            self._folder.delete(f"manifests/{versions[-1]:020d}.json")
+        return max(self._versions(), default=0)
 
     def _commit(self, base: Manifest, schema: str, shards: tuple[Shard, ...]) -> Manifest:
-        """Publishes what follows base. A version that a lost writer has left damaged is passed over."""
-        taken = [int(n[:-5]) for n, _ in self._list("manifests") if n.endswith(".json")]
-        if self.current().version != base.version:
-            raise CommitConflict(f"version {base.version} is no longer the newest")
-        new = Manifest(max([base.version, *taken]) + 1, schema, shards)
-        try:
-            out = self._fs.create(self._path(f"{self.root}/manifests/{new.version:020d}.json"), False)
-        except Py4JJavaError as e:
-            raise CommitConflict(f"version {new.version} is taken") from e
-        out.write(bytearray(new.text().encode()))
-        out.close()
+        """Publishes the version after base, whole or not at all."""
+        if (now := self.current().version) != base.version:
+            raise CommitConflict(f"version {base.version} is no longer the newest, but {now}")
+        new = Manifest(base.version + 1, schema, shards)
+        if not self._folder.create(f"manifests/{new.version:020d}.json", new.text()):
+            raise CommitConflict(f"version {new.version} is taken")
         return new
 
     def _write(self, df: DataFrame, rows: int | None = None) -> list[Shard]:
         folder = f"data/{uuid.uuid4().hex}"
         writer = df.write.option("maxRecordsPerFile", rows) if rows else df.write
         writer.parquet(f"{self.root}/{folder}")
-        return [Shard(f"{folder}/{n}", size) for n, size in self._list(folder) if n.endswith(".parquet")]
+        return [Shard(f"{folder}/{n}", size) for n, size, _ in self._list(folder) if n.endswith(".parquet")]
 
     def append(self, df: DataFrame, rows: int = ARRIVAL_ROWS) -> Manifest:
         """Adds the rows of df as small shards. Its columns must be those of the table."""
@@ -158,23 +173,24 @@ class ShardedTable:
                 self.sweep()
         return m
 
-    def sweep(self, keep_versions: int = 1) -> int:
-        """Deletes manifests older than the newest keep_versions, and files that none of those lists
-        (which a concurrent writer's uncommitted files are as well: one writer at a time)."""
-        versions = sorted(int(n[:-5]) for n, _ in self._list("manifests") if n.endswith(".json"))
-        newest = self.current().version
-        kept = [v for v in versions if v <= newest][-keep_versions:]
+    def sweep(self, keep_versions: int = 1, grace: float = GRACE) -> int:
+        """Deletes manifests older than the newest keep_versions and the files that only those list;
+        and files that no manifest lists, such as a lost writer's, once they are grace seconds old.
+        A writer's files that it has not committed yet stay."""
+        versions = self._versions()
+        kept, old = versions[-keep_versions:], versions[:-keep_versions]
         listed = {s.path for v in kept for s in self.current(v).shards}
-        gone = 0
-        for folder, _ in self._list("data"):
-            files = [f"data/{folder}/{n}" for n, _ in self._list(f"data/{folder}")]
-            if not any(f in listed for f in files):
+        known = {s.path for v in old for s in self.current(v).shards} - listed
+        gone, before = 0, time.time() - grace
+        for folder, _, _ in self._list("data"):
+            files = {f"data/{folder}/{n}": t for n, _, t in self._list(f"data/{folder}") if n.endswith(".parquet")}
+            free = [f for f, t in files.items() if f in known or f not in listed and t < before]
+            if files and len(free) == len(files):
                 gone += self._fs.delete(self._path(f"{self.root}/data/{folder}"), True)
             else:
-                gone += sum(self._fs.delete(self._path(f"{self.root}/{f}"), False) for f in files if f.endswith(".parquet") and f not in listed)
-        for v in versions:
-            if v < kept[0]:
-                self._fs.delete(self._path(f"{self.root}/manifests/{v:020d}.json"), False)
+                gone += sum(self._fs.delete(self._path(f"{self.root}/{f}"), False) for f in free)
+        for v in old:
+            self._folder.delete(f"manifests/{v:020d}.json")
         return gone
 
 

@@ -79,11 +79,39 @@ def test_shards_commit_compact_and_sweep(spark):
     with pytest.raises(ValueError):
         table.append(df.select("text"))
     last = table.current().version
-    table._fs.create(table._path(f"{table.root}/manifests/{last + 1:020d}.json"), False).close()  # a writer lost before its end
-    assert table.current().version == last and table.append(df.limit(5)).version == last + 2
+    table._folder.create(f"manifests/{last + 1:020d}.json", "")  # a manifest that a disk has torn
+    for act in (table.current, lambda: table.append(df.limit(5))):
+        with pytest.raises(sharding.DamagedManifest):
+            act()
+    assert table.recover() == last and table.append(df.limit(5)).version == last + 1
+    pending = table._write(df.limit(7), 100)  # another writer's, before its commit
     assert table.sweep() > 0 and table.read().count() == 4005
     with pytest.raises(ValueError):
         table.read(1)
+    now = table.current()
+    table._commit(now, now.schema, now.shards + tuple(pending))
+    assert table.read().count() == 4012
+    table._write(df.limit(7), 100)
+    assert table.sweep(grace=-60) > 0 and table.read().count() == 4012
+
+
+def test_of_two_writers_of_shards_one_fails_and_no_row_is_lost(spark, monkeypatch):
+    """One writer is held between writing its manifest and publishing it."""
+    root = fresh(spark, "test")
+    a, b = sharding.ShardedTable(spark, root), sharding.ShardedTable(spark, root)
+    df = spark.createDataFrame([(1, None), (1, None), (None, "x" * 100_000)], "doc_id long, text string")
+    a.append(df)
+    create = type(a._folder).create
+
+    def held(folder, name, text):
+        if folder is a._folder:
+            assert b.append(df).version == 2  # the other one is whole meanwhile
+        return create(folder, name, text)
+
+    monkeypatch.setattr(type(a._folder), "create", held)
+    with pytest.raises(sharding.CommitConflict):
+        a.append(df)
+    assert a.current().version == 2 and a.read().count() == 6
 
 
 def test_tiers():
