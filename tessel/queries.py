@@ -165,9 +165,6 @@ _dialect("group_distinct", "SELECT p_brand, maybe_size FROM part GROUP BY p_bran
 _dialect("group_constant_empty", "SELECT 1 AS one FROM region WHERE FALSE GROUP BY 1", "SELECT CAST(1 AS BIGINT) AS one FROM v_region WHERE FALSE", "region")
 
 # order and limit
-for _name, _sql in (("sort_asc_nulls_last", "half ASC NULLS LAST"), ("sort_desc_nulls_first", "half DESC NULLS FIRST")):
-    _dialect(_name, f"SELECT o_orderkey, half FROM orders ORDER BY half {_sql.split()[1]} LIMIT 9000", f"SELECT o_orderkey, half, row_number() OVER (ORDER BY {_sql}, o_orderkey) AS rnk FROM v_orders ORDER BY rnk LIMIT 9000", "orders", rank=True)
-_dialect("sort_alias_and_unprojected", "SELECT o_orderkey AS cents FROM orders ORDER BY o_orderpriority, cents DESC LIMIT 100", "SELECT o_orderkey AS cents, row_number() OVER (ORDER BY o_orderpriority, o_orderkey DESC) AS rnk FROM v_orders ORDER BY rnk LIMIT 100", "orders", rank=True)
 # the same orders over all rows
 for _name, _sql in (("sort_all_asc_nulls_last", "half ASC NULLS LAST"), ("sort_all_desc_nulls_first", "half DESC NULLS FIRST")):
     _dialect(_name, f"SELECT o_orderkey, half FROM orders ORDER BY half {_sql.split()[1]}, o_orderkey", f"SELECT o_orderkey, half, row_number() OVER (ORDER BY {_sql}, o_orderkey) AS rnk FROM v_orders", "orders", whole=True)
@@ -298,16 +295,6 @@ def _percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkers.nearest_rank(view(spark, sf_dir, "orders"), "cents", [0.5, 0.95, 0.99], ["o_orderstatus"])
 
 
-@_frame("sort_four_ways", """SELECT o_orderkey, row_number() OVER (ORDER BY half ASC NULLS FIRST, o_orderkey) AS a, row_number() OVER (ORDER BY half ASC NULLS LAST, o_orderkey) AS b,
-row_number() OVER (ORDER BY half DESC NULLS FIRST, o_orderkey) AS c, row_number() OVER (ORDER BY half DESC NULLS LAST, o_orderkey) AS d FROM v_orders WHERE o_orderkey <= 600""", "orders")
-def _four_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    df = view(spark, sf_dir, "orders").filter("o_orderkey <= 600")
-    ways: list[Column] = [F.row_number().over(Window.orderBy(order_key(F.col("half"), d, n), "o_orderkey")).cast("long").alias(a) for a, d, n in (("a", False, True), ("b", False, False), ("c", True, True), ("d", True, False))]
-    return df.select("o_orderkey", *ways)
-
-
 @_frame("sort_all_four_ways", """SELECT o_orderkey, row_number() OVER (ORDER BY half ASC NULLS FIRST, o_orderkey) AS a, row_number() OVER (ORDER BY half ASC NULLS LAST, o_orderkey) AS b,
 row_number() OVER (ORDER BY half DESC NULLS FIRST, o_orderkey) AS c, row_number() OVER (ORDER BY half DESC NULLS LAST, o_orderkey) AS d FROM v_orders""", "orders")
 def _all_four_ways(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tessel import outcomes  # noqa: F401  registers its queries
 from tessel.errors import EngineError
 from tessel.functions import arithmetic, negate
 from tessel.operators import checkers, sequences
