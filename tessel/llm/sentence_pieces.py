@@ -46,27 +46,56 @@ class Vocabulary:
     flat: np.ndarray = field(repr=False)
     first: np.ndarray = field(repr=False)
     size: np.ndarray = field(repr=False)
+    steps: dict = field(default_factory=dict, repr=False)  # by id, as found
 
     def text(self, i: int) -> bytes:
         return self.flat[self.first[i] : self.first[i] + self.size[i]].tobytes()
 
-    def merged(self, text: bytes) -> list[bytes]:
-        """What merging neighbours makes of the characters of a short text: the best first, of equal ones the leftmost."""
-        rank, at = self.rank, [x.encode() for x in text.decode()]
+    def _merging(self, i: int) -> tuple[list[bytes], list[bytes], list[float]] | None:
+        """The steps in which the characters of a piece merge, the best neighbours first and of equal
+        ones the leftmost: its first and last symbol before each step and the step's score, which is
+        minus infinity at the end. None for a piece that merging doesn't make."""
+        if i in self.steps:
+            return self.steps[i]
+        whole = self.text(i)
+        at, rank = [x.encode() for x in whole.decode()], self.rank
+        left, right, scores = [], [], []
         while True:
-            best, place = None, 0
-            for i in range(len(at) - 1):
-                x = rank.get(at[i] + at[i + 1])
-                if x is not None and (best is None or x > best):
-                    best, place = x, i
-            if best is None:
-                return at
+            best, place = float("-inf"), -1
+            for k in range(len(at) - 1):
+                x = rank.get(at[k] + at[k + 1])
+                if x is not None and x > best:
+                    best, place = x, k
+            left.append(at[0])
+            right.append(at[-1])
+            scores.append(best)
+            if place < 0:
+                break
             at[place : place + 2] = [at[place] + at[place + 1]]
+        self.steps[i] = (left, right, scores) if at == [whole] else None
+        return self.steps[i]
 
     def apart(self, a: int, b: int) -> bool:
-        """Whether merging leaves the pieces a and b as they are, side by side. a may be _START or _UNKNOWN."""
-        own = self.text(b)
-        return self.merged(own) == [own] if a < 0 else self.merged(self.text(a) + own) == [self.text(a), own]
+        """Whether merging leaves the pieces a and b as they are, side by side: both merge step by step
+        in the order of their scores, and no symbols across their border come first. a may be _START
+        or _UNKNOWN."""
+        after = self._merging(b)
+        if a < 0 or after is None:
+            return after is not None
+        _, right, ours = self._merging(a)
+        left, _, theirs = after
+        i, j, rank = 0, 0, self.rank
+        while True:
+            x, y = ours[i], theirs[j]
+            across = rank.get(right[i] + left[j])
+            if across is not None and across > x and across >= y:
+                return False
+            if x >= y:
+                if i == len(ours) - 1:
+                    return True  # so is the other at its end
+                i += 1
+            else:
+                j += 1
 
 
 def vocabulary(pieces: list[tuple[str, float]], byte_ids: list[int]) -> Vocabulary:
@@ -168,12 +197,13 @@ class Encoder:
     """Encodes runs of texts, remembering words."""
 
     def __init__(self, v: Vocabulary) -> None:
-        self.v, self.known, self.pairs = v, {}, {}
+        self.v, self.known, self.before, self.pairs = v, {}, {}, {}
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the bounds of each text's."""
         if len(self.known) > REMEMBER:
-            self.known = {}
+            # words of the generation before last are forgotten
+            self.known, self.before = {}, self.known
         if len(self.pairs) > REMEMBER_PAIRS:
             self.pairs = {}
         some = np.flatnonzero(np.diff(offsets) > 0)
@@ -190,11 +220,13 @@ class Encoder:
         end = np.append(start[1:], len(data))[: len(start)]
         hashes = T.span_hashes(data, start, end)
         h, at, of = np.unique(hashes, return_index=True, return_inverse=True)
-        keys, known = h.tolist(), self.known
-        new = sorted((data[start[at[i]] : end[at[i]]].tobytes(), x) for i, x in enumerate(keys) if x not in known)
-        for (_, x), ids in zip(new, segment([w for w, _ in new], self.v, self.pairs), strict=True):
-            known[x] = ids
-        each = [known[x] for x in keys]
+        keys, known, before = h.tolist(), self.known, self.before
+        each = [known.get(x) or before.get(x) for x in keys]
+        missed = [i for i, ids in enumerate(each) if ids is None]
+        new = sorted((data[start[at[i]] : end[at[i]]].tobytes(), i) for i in missed)
+        for (_, i), ids in zip(new, segment([w for w, _ in new], self.v, self.pairs), strict=True):
+            each[i] = ids
+        known.update(zip(keys, each, strict=True))
         size = np.fromiter(map(len, each), np.int64, len(each))
         flat = np.fromiter((i for ids in each for i in ids), np.int32, int(size.sum()))
         ids = T.ragged(flat, (np.cumsum(size) - size)[of], size[of])
