@@ -27,7 +27,7 @@ from tessel.llm.scratch import batched, free, place_of
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct words whose pieces a task remembers, and pairs of pieces whose merging it remembers.
-REMEMBER, REMEMBER_PAIRS = 1 << 16, 1 << 17
+REMEMBER, REMEMBER_PAIRS = 1 << 16, 1 << 18
 #: Bytes of text, and ids, that are worked on at once.
 TEXT_RUN, ID_RUN = 1 << 19, 1 << 18
 
@@ -36,11 +36,10 @@ _START, _UNKNOWN = -1, -2  # before the first piece; a character that no piece h
 
 @dataclass
 class Vocabulary:
-    """child: node * 256 + byte to node; piece by node, -1 for none; rank: score by text of a piece;
+    """trie: by byte, the node below and its piece, -1 for none; rank: score by text of a piece;
     byte_id by byte; text and size by id."""
 
-    child: dict[int, int]
-    piece: list[int]
+    trie: dict[int, tuple[dict, int]]
     rank: dict[bytes, float]
     byte_id: list[int]
     flat: np.ndarray = field(repr=False)
@@ -101,26 +100,22 @@ class Vocabulary:
 def vocabulary(pieces: list[tuple[str, float]], byte_ids: list[int]) -> Vocabulary:
     """pieces: by id, with markers for blanks and scores, "" for an id that stands for no text or for
     a byte. A piece with a blank after another character, or a line feed, can't be: words are cut there."""
-    child: dict[int, int] = {}
-    piece, rank = [-1], {}
+    trie: dict = {}
+    rank: dict[bytes, float] = {}
     texts = [text.replace(MARK, " ").encode() for text, _ in pieces]
     for i, raw in enumerate(texts):
         if b" " in raw.lstrip(b" ") or b"\n" in raw:
             raise ValueError(f"piece {i} has a blank within it or a line feed")
         if not raw or raw in rank:
             continue
-        node, rank[raw] = 0, pieces[i][1]
-        for b in raw:
-            to = child.get(node * 256 + b)
-            if to is None:
-                to = child[node * 256 + b] = len(piece)
-                piece.append(-1)
-            node = to
-        piece[node] = i
+        node, rank[raw] = trie, pieces[i][1]
+        for b in raw[:-1]:
+            node = node.setdefault(b, ({}, -1))[0]
+        node[raw[-1]] = (node[raw[-1]][0] if raw[-1] in node else {}, i)
     for b, i in enumerate(byte_ids):
         texts[i] = bytes([b])
     size = np.array([len(t) for t in texts])
-    return Vocabulary(child, piece, rank, byte_ids, np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, size)
+    return Vocabulary(trie, rank, byte_ids, np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, size)
 
 
 def read_model(path: str = MODEL) -> Vocabulary:
@@ -136,11 +131,11 @@ def read_model(path: str = MODEL) -> Vocabulary:
 
 def segment(words: list[bytes], v: Vocabulary, pairs: dict[int, bool] | None = None) -> list[list[int]]:
     """The ids of each of the sorted words. pairs: what is known of pairs of pieces, added to."""
-    child, piece, byte_id, apart = v.child, v.piece, v.byte_id, v.apart
+    trie, byte_id, apart = v.trie, v.byte_id, v.apart
     pairs = {} if pairs is None else pairs
     # by depth: the last piece of the prefix, where it starts, bytes missing to a whole character
     via, back, missing = [_START], [0], [0]
-    active: list[list[tuple[int, int]]] = [[]]  # by depth: pieces under way, as trie node and start, longest first
+    active: list[list[tuple[dict, int]]] = [[]]  # by depth: pieces under way, as trie node and start, longest first
     out, last = [], b""
     for word in words:
         depth, most = 0, min(len(word), len(last))
@@ -148,30 +143,32 @@ def segment(words: list[bytes], v: Vocabulary, pairs: dict[int, bool] | None = N
             depth += 1
         del via[depth + 1 :], back[depth + 1 :], missing[depth + 1 :], active[depth + 1 :]
         for d in range(depth, len(word)):
-            byte, going = word[d], []
+            byte, going, ends = word[d], [], []
             for node, s in active[d]:
-                to = child.get(node * 256 + byte)
-                if to is not None:
-                    going.append((to, s))
+                if (to := node.get(byte)) is not None:
+                    if to[0]:
+                        going.append((to[0], s))
+                    if to[1] >= 0:
+                        ends.append((to[1], s))
             if missing[d]:
                 more = missing[d] - 1
             else:
                 more = 0 if byte < 0xC0 else 1 if byte < 0xE0 else 2 if byte < 0xF0 else 3
-                to = child.get(byte)
-                if to is not None:
-                    going.append((to, d))
+                if (to := trie.get(byte)) is not None:
+                    if to[0]:
+                        going.append((to[0], d))
+                    if to[1] >= 0:
+                        ends.append((to[1], d))
             by, start = _UNKNOWN, d
             if not more:
-                for to, s in going:
-                    i = piece[to]
-                    if i >= 0:
-                        key = via[s] << 32 | i
-                        ok = pairs.get(key)
-                        if ok is None:
-                            ok = pairs[key] = apart(via[s], i)
-                        if ok:
-                            by, start = i, s
-                            break
+                for i, s in ends:
+                    key = via[s] << 32 | i
+                    ok = pairs.get(key)
+                    if ok is None:
+                        ok = pairs[key] = apart(via[s], i)
+                    if ok:
+                        by, start = i, s
+                        break
                 else:
                     while missing[start]:
                         start -= 1
@@ -246,9 +243,15 @@ def decode(ids: np.ndarray, bounds: np.ndarray, v: Vocabulary) -> tuple[np.ndarr
     return data, offsets - np.cumsum(gone)
 
 
-def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
+def _texts(ids: np.ndarray, bounds: np.ndarray, v: Vocabulary) -> pa.Array:
+    data, offsets = decode(ids, bounds, v)
+    return pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
+
+
+def encode(docs: DataFrame, v: Vocabulary, read_back: bool = False) -> DataFrame:
     """One row per row of docs: doc_id and ids, the pieces of its whole text; none for a null or
-    empty one. One pass, no shuffle; other columns of docs are left aside."""
+    empty one. read_back: and text, decoded from ids in the same pass. Rows with null or repeated ids
+    are rows of their own. One pass, no shuffle; other columns of docs are left aside."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(v)  # as large as the vocabulary
 
@@ -257,9 +260,10 @@ def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
         for batch in batches:
             for a, b, data, offsets in T.chunks(batch.column(1), TEXT_RUN):
                 ids, bounds = encoder.encode(data, offsets)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, b - a), "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))})
+                out = {"doc_id": batch.column(0).slice(a, b - a), "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))}
+                yield pa.RecordBatch.from_pydict(out | ({"text": _texts(ids, bounds, held.value)} if read_back else {}))
 
-    return batched(docs.select("doc_id", "text"), run, f"doc_id {kind}, ids array<int>")
+    return batched(docs.select("doc_id", "text"), run, f"doc_id {kind}, ids array<int>" + ", text string" * read_back)
 
 
 def with_text(encoded: DataFrame, v: Vocabulary) -> DataFrame:
@@ -276,8 +280,7 @@ def with_text(encoded: DataFrame, v: Vocabulary) -> DataFrame:
             values, a = ids.values.to_numpy(), 0
             while a < len(batch):
                 b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + ID_RUN, "right")) - 1)
-                data, offsets = decode(values[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], held.value)
-                text = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
+                text = _texts(values[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], held.value)
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), text], names=[*names, added])
                 a = b
 
@@ -290,5 +293,5 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     v = read_model()
-    out = with_text(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), v), v)
+    out = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), v, read_back=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("text", 256).alias("decoded_sha256"), "ids")

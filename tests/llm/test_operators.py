@@ -613,6 +613,7 @@ def test_pieces_are_those_of_the_models_own_encoder(spark, monkeypatch, some_tex
         if "\u2581" not in (x or ""):  # the marker itself is told from a blank, by its bytes
             assert list(back[i].ids) == own.encode(x or "")
     assert back[0].ids == []
+    assert sorted(sentence_pieces.encode(docs, v, read_back=True).collect(), key=str) == sorted(back.values(), key=str)
     assert sentence_pieces.with_text(sentence_pieces.encode(docs.limit(0), v), v).count() == 0
     twice = sentence_pieces.with_text(encoded.withColumn("text", F.lit("x")), v).first()
     assert twice.text == "x" and twice.text_ is not None
