@@ -14,6 +14,7 @@ survives, and the segmentation is that of the model's own encoder.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,8 +27,8 @@ from tessel.llm.scratch import batched, free, place_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Distinct words whose pieces a task remembers, and pairs of pieces whose merging it remembers.
-REMEMBER, REMEMBER_PAIRS = 1 << 16, 1 << 18
+#: Distinct words whose pieces a worker remembers, and pairs of pieces whose merging it remembers.
+REMEMBER, REMEMBER_PAIRS = 1 << 17, 1 << 19
 #: Bytes of text, and ids, that are worked on at once.
 TEXT_RUN, ID_RUN = 1 << 19, 1 << 18
 
@@ -46,6 +47,13 @@ class Vocabulary:
     first: np.ndarray = field(repr=False)
     size: np.ndarray = field(repr=False)
     steps: dict = field(default_factory=dict, repr=False)  # by id, as found
+    _encoder: Encoder | None = field(default=None, repr=False)
+
+    def encoder(self) -> Encoder:
+        """One encoder in each process, so that what a task remembers serves the next ones."""
+        if self._encoder is None:
+            self._encoder = Encoder(self)
+        return self._encoder
 
     def text(self, i: int) -> bytes:
         return self.flat[self.first[i] : self.first[i] + self.size[i]].tobytes()
@@ -133,15 +141,16 @@ def segment(words: list[bytes], v: Vocabulary, pairs: dict[int, bool] | None = N
     """The ids of each of the sorted words. pairs: what is known of pairs of pieces, added to."""
     trie, byte_id, apart = v.trie, v.byte_id, v.apart
     pairs = {} if pairs is None else pairs
-    # by depth: the last piece of the prefix, where it starts, bytes missing to a whole character
-    via, back, missing = [_START], [0], [0]
-    active: list[list[tuple[dict, int]]] = [[]]  # by depth: pieces under way, as trie node and start, longest first
+    # by depth: the last piece of the prefix, where it starts, bytes missing to a whole character, and
+    # pieces under way, as trie node and start, longest first; of use up to the prefix shared
+    room = 1 + max(map(len, words), default=0)
+    via, back, missing = [_START] * room, [0] * room, [0] * room
+    active: list[list[tuple[dict, int]]] = [[]] * room
     out, last = [], b""
     for word in words:
         depth, most = 0, min(len(word), len(last))
         while depth < most and word[depth] == last[depth]:
             depth += 1
-        del via[depth + 1 :], back[depth + 1 :], missing[depth + 1 :], active[depth + 1 :]
         for d in range(depth, len(word)):
             byte, going, ends = word[d], [], []
             for node, s in active[d]:
@@ -172,10 +181,8 @@ def segment(words: list[bytes], v: Vocabulary, pairs: dict[int, bool] | None = N
                 else:
                     while missing[start]:
                         start -= 1
-            via.append(by)
-            back.append(start)
-            missing.append(more)
-            active.append(going)
+            at = d + 1
+            via[at], back[at], missing[at], active[at] = by, start, more, going
         ids, at = [], len(word)
         while at:
             start = back[at]
@@ -191,7 +198,7 @@ def segment(words: list[bytes], v: Vocabulary, pairs: dict[int, bool] | None = N
 
 
 class Encoder:
-    """Encodes runs of texts, remembering words."""
+    """Encodes runs of texts, remembering the ids of words, as bytes."""
 
     def __init__(self, v: Vocabulary) -> None:
         self.v, self.known, self.before, self.pairs = v, {}, {}, {}
@@ -222,10 +229,10 @@ class Encoder:
         missed = [i for i, ids in enumerate(each) if ids is None]
         new = sorted((data[start[at[i]] : end[at[i]]].tobytes(), i) for i in missed)
         for (_, i), ids in zip(new, segment([w for w, _ in new], self.v, self.pairs), strict=True):
-            each[i] = ids
+            each[i] = array("i", ids).tobytes()
         known.update(zip(keys, each, strict=True))
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.fromiter((i for ids in each for i in ids), np.int32, int(size.sum()))
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat = np.frombuffer(b"".join(each), np.int32)
         ids = T.ragged(flat, (np.cumsum(size) - size)[of], size[of])
         ends = np.concatenate(([0], np.cumsum(size[of])))
         return ids, ends[np.searchsorted(start, offsets)]
@@ -256,7 +263,7 @@ def encode(docs: DataFrame, v: Vocabulary, read_back: bool = False) -> DataFrame
     held = docs.sparkSession.sparkContext.broadcast(v)  # as large as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(held.value)
+        encoder = held.value.encoder()
         for batch in batches:
             for a, b, data, offsets in T.chunks(batch.column(1), TEXT_RUN):
                 ids, bounds = encoder.encode(data, offsets)
