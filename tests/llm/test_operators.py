@@ -392,14 +392,35 @@ def test_grid_join(spark, monkeypatch):
     linked = lambda a, b: a is not None and b is not None and a[0] == b[0] and len(a[1]) == len(b[1]) and a[1] @ b[1] >= 0.98
     want = components_of(unit, list(range(len(rows))), linked)
     n = [sum(linked(a, b) for j, b in enumerate(unit) if i != j) for i, a in enumerate(unit)]
-    for block, leaf in ((1024, 64), (20, 3)):
+    for block, leaf, fan in ((1024, 64, 4), (20, 3, 4), (4, 3, 2)):
         monkeypatch.setattr(grid_join, "BLOCK", block)
         monkeypatch.setattr(grid_join, "LEAF", leaf)
+        monkeypatch.setattr(grid_join, "FAN", fan)
         got = {r.vec_id: r for r in grid_join.near_duplicates(df).collect()}
         assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (n[i], want[i], want[i] == i) for i in want}
     assert grid_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_intervals_of_copies_are_linked_without_their_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(3, 8))
+    rows = [base[c] + rng.normal(size=8) * 0.001 for c in (0, 1, 2) for _ in range(150)] + list(rng.normal(size=(60, 8)))
+    df = spark.createDataFrame([(i, x.tolist(), "x") for i, x in enumerate(rows)], "vec_id long, embedding array<double>, label string").repartition(2)
+    monkeypatch.setattr(grid_join, "BLOCK", 2)
+    monkeypatch.setattr(grid_join, "FAN", 2)
+    met = []
+    joined = grid_join._joined
+    monkeypatch.setattr(grid_join, "_joined", lambda pairs, *rest: met.append(pairs.count()) or joined(pairs, *rest))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in grid_join.near_duplicates(df).collect()}
+    unit = [x / np.linalg.norm(x) for x in rows]
+    linked = lambda a, b: a @ b >= 0.98
+    want = components_of(unit, list(range(len(rows))), linked)
+    cosines = np.array(unit) @ np.array(unit).T >= 0.98
+    assert got == {i: (int(cosines[i].sum()) - 1, want[i]) for i in want}
+    # 75 blocks of each group would meet in 2,850 pairs
+    assert met[0] < 1500
+
+
 # 7
 
 
