@@ -24,7 +24,11 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within their language's threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return kneser_ney.keep(docs, kneser_ney.fit(docs, labels))
+    fitted = kneser_ney.fit(docs, labels)
+    out = kneser_ney.keep(docs, fitted)
+    if fitted is not None:
+        fitted.drop()
+    return out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,11 +45,11 @@ def save(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes the files of a table that save() has returned and nothing reads any more."""
+def drop(df: DataFrame, folder: str = "") -> None:
+    """Deletes the files of a table that save() has returned and nothing reads any more, or one folder of them."""
     spark = df.sparkSession
     for f in {re.sub(r"(/tessel-[^/]*).*", r"\1", x) for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{f}/{folder}" if folder else f)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -613,6 +613,40 @@ def test_kneser_ney_skips_a_text_beyond_the_bound_and_no_others(spark, monkeypat
     assert {r[0] for r in scores[-1]} == set(range(40)) - set(seen[-1]) and len(seen[-1]) == 2
 
 
+def test_kneser_ney_trains_on_whole_halves_beyond_any_bound(spark, monkeypatch):
+    """More than 5,000 documents, more than 24 million characters in one of them: each is counted."""
+    n, long = 11_000, 25_000_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    first = docs.filter("pmod(xxhash64(doc_id), 2) = 0").first().doc_id
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("x" * 49 + " "), long // 50)).otherwise(F.col("text")))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    seen = []
+    monkeypatch.setattr(kneser_ney, "train", lambda rows, order: seen.append(rows.agg(F.count("*"), F.sum(F.length("text"))).first()))
+    kneser_ney.fit(docs, labels)
+    half = docs.filter("pmod(xxhash64(doc_id), 2) = 0")
+    assert seen[0] == half.agg(F.count("*"), F.sum(F.length("text"))).first() and seen[0][0] > 5000 and seen[0][1] > 24_000_000
+
+
+def test_kneser_ney_is_exact_in_rounds_and_parts(spark, some_texts, monkeypatch):
+    """Of a table in partitions, of one that comes from a shuffle, of orders 2 and 4."""
+    monkeypatch.setattr(kneser_ney, "SMALL", 0)
+    train = some_texts[::2]
+    log_p = plain_model(train)
+    model = kneser_ney.train(docs_of(spark, train).repartition(3), 3)
+    assert model.rounds == kneser_ney.ROUNDS and len(model.entries) == 1 + kneser_ney.PARTS
+    for docs in (docs_of(spark, some_texts), docs_of(spark, some_texts).repartition(5)):
+        got = kneser_ney.score(docs, model, ["doc_id"]).collect()
+        assert sorted(r.doc_id for r in got) == list(range(len(some_texts)))
+        for r in got:
+            assert r.log_prob == pytest.approx(log_p(some_texts[r.doc_id]), rel=1e-9) and r.n_words == len(WORD.findall(some_texts[r.doc_id] or ""))
+    # all continuations of a context, the unseen word among them, have a probability of 1 together
+    texts = ["a b a c b a", "b a c", None, "c c a b"]
+    for order in (2, 4):
+        model = kneser_ney.train(docs_of(spark, texts), order)
+        got = {r.doc_id: r.log_prob for r in kneser_ney.score(docs_of(spark, ["a", "b", "c", "", "zz"]), model, ["doc_id"]).collect()}
+        assert 0 < sum(map(math.exp, got.values())) < 1 and got[4] < min(got[i] for i in range(3))
+
+
 # 10
 
 
