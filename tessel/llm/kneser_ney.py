@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import tokens as T
-from tessel.llm.scratch import batched, bit_filter, drop, free, may_hold, save
+from tessel.llm.scratch import batched, bit_filter, drop, free, grouped, may_hold, pieces, save
 
 ORDER = 3
 #: Rounds of scoring, and parts of the n-grams that terms are made of at once, of a model of more than SMALL
@@ -37,7 +37,7 @@ ROUNDS, PARTS, SMALL = 12, 4, 1 << 20
 #: Terms are kept in these parts of a nat, so that their sums don't depend on an order.
 UNITS = 2.0**32
 #: N-grams of a block of texts in a round, about, for each order; texts of a block at most, but for one batch.
-BLOCK_TOKENS, BLOCK_TEXTS = 1 << 19, 50_000
+BLOCK_TOKENS, BLOCK_TEXTS = 1 << 18, 50_000
 #: A text is rejected beyond its language's quantile of trusted texts by more than the margin, in nats a
 #: token: the quantile alone would reject one clean text of a hundred by definition.
 QUANTILE, MARGIN = 0.99, 0.4
@@ -183,17 +183,17 @@ def _counted(rows: DataFrame, order: int, shards: int) -> DataFrame:
                 held.append(_ngrams(data, offsets, order)[0])
                 size += len(held[-1][0])
                 if size >= BLOCK_TOKENS:
-                    yield dealt(held)
+                    yield from dealt(held).to_batches()
                     held, size = [], 0
         if size:
-            yield dealt(held)
+            yield from dealt(held).to_batches()
 
-    def dealt(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+    def dealt(held: list[list[np.ndarray]]) -> pa.Table:
         words = [np.concatenate(w) for w in zip(*held, strict=True)]
         words, n = _merged(words, np.ones(len(words[0]), np.int64))
         # sorted by that word first
         out = {s: _packed(*(w[i:j] for w in words), _least(n[i:j])) for s, i, j in _slices(words[-2], _edges(shards))}
-        return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(list(out.values()), pa.binary())], names=["shard", "data"])
+        return pieces(pa.table({"shard": pa.array(list(out), pa.int32()), "data": pa.array(list(out.values()), pa.binary())}))
 
     def merge(table: pa.Table) -> pa.Table:
         parts = [_unpacked(x) for x in table["data"]]
@@ -203,7 +203,7 @@ def _counted(rows: DataFrame, order: int, shards: int) -> DataFrame:
         return pa.table({"part": pa.array([shard % PARTS], pa.int32()), "shard": pa.array([shard], pa.int32()), "data": pa.array([_packed(*words, _least(n))], pa.binary())})
 
     grams = batched(rows.select("text"), run, "shard int, data binary")
-    return save(grams.groupBy("shard").applyInArrow(merge, "part int, shard int, data binary"), "counts", "part")
+    return save(grouped(grams, "shard", merge, "part int, shard int, data binary"), "counts", "part")
 
 
 def _found(counts: DataFrame, order: int) -> DataFrame:
@@ -230,7 +230,7 @@ def train(rows: DataFrame, order: int = ORDER) -> Model | None:
     if order < 2:
         raise ValueError("order is 2 at least")
     spark = rows.sparkSession
-    counts = _counted(rows, order, max(4, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    counts = _counted(rows, order, max(4, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     found = _found(counts, order)
     of = {k: {} for k in range(1, order + 1)}
     for r in found.filter("level > 1").collect():  # 4 rows a level
@@ -290,14 +290,14 @@ def train(rows: DataFrame, order: int = ORDER) -> Model | None:
         for batch in batches:
             if len(batch):
                 key, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-                yield from dealt(_keys([key])[0], np.log(first(n) / floor)).to_batches()
+                yield from pieces(dealt(_keys([key])[0], np.log(first(n) / floor))).to_batches()
 
     schema = "round int, shard int, data binary"
     entries = [save(batched(words, alone, schema), "terms", "round")]
     for some in [counts.filter(F.col("part") == i) for i in range(PARTS)] if size > SMALL else [counts]:
         some = some.select("shard", "data")
         joined = batched(some, asked, "shard int, w long").join(words, "w").select("shard", "w", "n")
-        entries.append(save(some.groupBy("shard").cogroup(joined.groupBy("shard")).applyInArrow(terms, schema), "terms", "round"))
+        entries.append(save(grouped(some, "shard", terms, schema, joined), "terms", "round"))
         if size > SMALL:
             drop(counts, f"part={len(entries) - 2}")
     drop(counts)
@@ -341,12 +341,12 @@ def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
                     held.size += b - a
                     held.tokens += len(owner)
                     if held.tokens >= BLOCK_TOKENS * rounds or held.size >= BLOCK_TEXTS:
-                        yield dealt(held, blocks)
+                        yield from dealt(held, blocks).to_batches()
                         held, blocks = _Block(), blocks + 1
             if held.size:
-                yield dealt(held, blocks)
+                yield from dealt(held, blocks).to_batches()
 
-        def dealt(held: _Block, number: int) -> pa.RecordBatch:
+        def dealt(held: _Block, number: int) -> pa.Table:
             key, text = np.concatenate(held.keys), np.concatenate(held.texts)
             by = np.argsort(key)
             key, text = key[by], text[by]
@@ -364,7 +364,7 @@ def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
                     to.write_table(got)
                 out.append((int(block) % shards, 2, sink.getvalue().to_pybytes()))
             shard, kind, data = zip(*out, strict=True) if out else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(np.full(len(shard), block)), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["shard", "block", "kind", "data"])
+            return pieces(pa.table({"shard": pa.array(shard, pa.int32()), "block": pa.array(np.full(len(shard), block)), "kind": pa.array(kind, pa.int32()), "data": pa.array(data, pa.binary())}))
 
         return run
 
@@ -415,13 +415,12 @@ def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
         asks = batched(texts, asked(r), f"shard int, {part}")
         for x in model.entries:
             asks = asks.union(x.filter(F.col("round") == r).select("shard", F.lit(0).cast("long").alias("block"), F.lit(0).alias("kind"), "data"))
-        answers = asks.groupBy("shard").applyInArrow(answered, part)
-        sums.append(save(answers.groupBy("block").applyInArrow(added, part), f"sums-{r}"))
+        sums.append(save(grouped(grouped(asks, "shard", answered, part), "block", added, part), f"sums-{r}"))
     every = sums[0]
     for x in sums[1:]:
         every = every.union(x)
     schema = ", ".join([*(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in columns), _SCORES])
-    out = save(every.groupBy("block").applyInArrow(finished, schema), "scores")
+    out = save(grouped(every, "block", finished, schema), "scores")
     for x in [*sums, *([texts] if shuffled else [])]:
         drop(x)
     return out
