@@ -53,40 +53,15 @@ def drop(df: DataFrame, folder: str = "") -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release() -> None:
-    """Gives free memory back, as a Python worker lives on for other tasks."""
-    pa.default_memory_pool().release_unused()
-    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
-        trim(0)
-
-
-def pieces(table: pa.Table) -> pa.Table:
-    """table in batches of about BATCH_BYTES, as the JVM keeps the buffers that it reads a batch into."""
-    step = max(1, BATCH_BYTES * len(table) // max(1, table.nbytes))
-    return pa.Table.from_batches([b for i in range(0, len(table), step) for b in table.slice(i, step).combine_chunks().to_batches()], table.schema)
-
-
-def grouped(df: DataFrame, by: str, run: Callable, schema: str, other: DataFrame | None = None) -> DataFrame:
-    """run of the rows of df (and of other) that share by, as Arrow tables; memory is given back after each."""
-    def alone(table: pa.Table) -> pa.Table:
-        out = pieces(run(table))
-        release()
-        return out
-
-    def both(table: pa.Table, more: pa.Table) -> pa.Table:
-        out = pieces(run(table, more))
-        release()
-        return out
-
-    return df.groupBy(by).applyInArrow(alone, schema) if other is None else df.groupBy(by).cogroup(other.groupBy(by)).applyInArrow(both, schema)
-
-
 def batched(df: DataFrame, run: Callable, schema) -> DataFrame:
     """df.mapInArrow with batches of BATCH_BYTES at most, so that a worker's memory doesn't follow the
     length of the rows. Lowers spark.sql.execution.arrow.maxBytesPerBatch of the session if it is higher."""
     def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        release()
+        # the worker lives on for other tasks
+        pa.default_memory_pool().release_unused()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+            trim(0)
 
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = str(conf.get(key)).lower().removesuffix("b")
