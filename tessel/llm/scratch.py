@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 #: Words of 64 bits in a filter.
 FILTER = 1 << 18
+#: Of a Python worker: bytes that malloc takes from its own heap and not from the system, and free ones at
+#: the heap's top that it keeps. By default it gives back the arrays of each pass and faults them in again.
+MALLOC_OWN, MALLOC_KEPT = 1 << 22, 1 << 26
 #: Bytes of an Arrow batch that a Python worker gets at once; a row larger than that comes alone.
 BATCH_BYTES = 1 << 20
 
@@ -53,15 +56,56 @@ def drop(df: DataFrame, folder: str = "") -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def keep_heap() -> None:
+    """Has malloc keep up to MALLOC_KEPT for the arrays of the next pass, until give_back()."""
+    if (option := getattr(ctypes.CDLL(None), "mallopt", None)) is not None:
+        option(-3, MALLOC_OWN)  # M_MMAP_THRESHOLD
+        option(-1, MALLOC_KEPT)  # M_TRIM_THRESHOLD
+
+
+def give_back() -> None:
+    """Gives free memory back to the system, as the worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+def collect_heaps(spark: SparkSession) -> None:
+    """Has the executors collect their heaps, which gives free memory back to the system: a JVM keeps
+    what the largest stage took, and Python workers need that memory in the next one. The tasks are
+    as many as there are cores, so that each executor gets one if all of them are idle."""
+    n = spark.sparkContext.defaultParallelism
+    # Spark has no call for this; the expression runs where the rows are
+    gc = F.java_method(F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, n, 1, n).select(gc.alias("done")).write.format("noop").mode("overwrite").save()
+
+
+def by_group(run: Callable) -> Callable:
+    """For applyInArrow: run, and memory is given back after each group."""
+
+    def one(table: pa.Table) -> pa.Table:
+        keep_heap()
+        out = run(table)
+        give_back()
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        keep_heap()
+        out = run(left, right)
+        give_back()
+        return out
+
+    return one if run.__code__.co_argcount == 1 else two
+
+
 def batched(df: DataFrame, run: Callable, schema) -> DataFrame:
     """df.mapInArrow with batches of BATCH_BYTES at most, so that a worker's memory doesn't follow the
     length of the rows. Lowers spark.sql.execution.arrow.maxBytesPerBatch of the session if it is higher."""
+
     def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_heap()
         yield from run(batches)
-        # the worker lives on for other tasks
-        pa.default_memory_pool().release_unused()
-        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
-            trim(0)
+        give_back()
 
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = str(conf.get(key)).lower().removesuffix("b")

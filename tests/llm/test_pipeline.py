@@ -1,5 +1,5 @@
 import corpus_pipeline
-from tessel.llm import kneser_ney, quality_rules
+from tessel.llm import kneser_ney, quality_rules, scratch
 from tests.llm.test_operators import components_of, shingles
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +34,16 @@ def test_an_empty_table_passes(spark):
     assert docs.count() == 0
 
 
+
+
+def test_heaps_are_collected_before_each_stage(spark, monkeypatch):
+    beans = lambda: [b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()]
+    before = beans()
+    scratch.collect_heaps(spark)
+    assert sum(beans()) > sum(before)
+    seen = []
+    monkeypatch.setattr(corpus_pipeline, "collect_heaps", seen.append)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, docs, SF)
+        assert len(seen) == i + 1
