@@ -7,12 +7,13 @@ in the shared folder and reads it again, so a lost executor costs no finished st
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import jaccard_join, kneser_ney, mixing, quality_rules, sentence_pieces
-from tessel.llm.scratch import save
+from tessel.llm.scratch import collect_heaps, save
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +49,26 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality rules", rules),
-    ("quality classifier", classifier),
-    ("n-gram Jaccard join", near_duplicates),
-    ("mixing sources", mixture),
-    ("SentencePiece encoding", pieces),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _rested(stage: Stage) -> Stage:
+    """stage, before which executors give back the memory that the one before took."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        collect_heaps(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", _rested(rules)),
+    ("quality classifier", _rested(classifier)),
+    ("n-gram Jaccard join", _rested(near_duplicates)),
+    ("mixing sources", _rested(mixture)),
+    ("SentencePiece encoding", _rested(pieces)),
 ]
 
 #: The trained models have no SQL form; tests compare each stage with a plain one.
