@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import tokens as T
-from tessel.llm.scratch import batched, bit_filter, drop, free, may_hold, save
+from tessel.llm.scratch import batched, bit_filter, by_group, drop, free, may_hold, save
 
 ORDER = 3
 #: Rounds of scoring, and parts of the n-grams that terms are made of at once, of a model of more than SMALL
@@ -54,17 +54,31 @@ _BEGIN, _END = np.uint64(0xB0), np.uint64(0xE0)
 def _sequence(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Each text's words after order-1 begins and before one end; the number of entries of each text."""
     t = T.words(data, offsets, lower=True)
-    h = np.insert(t.hash, t.bounds[1:], _END)
-    first = np.cumsum(t.counts + 1) - (t.counts + 1)
-    return np.insert(h, np.repeat(first, order - 1), _BEGIN), t.counts + order
+    n = t.counts + order
+    ends = np.cumsum(n)
+    h, word = np.full(n.sum(), _BEGIN), np.ones(n.sum(), bool)
+    for i in range(order - 1):
+        word[ends - n + i] = False
+    word[ends - 1] = False
+    h[word] = t.hash
+    h[ends - 1] = _END
+    return h, n
+
+
+def _windows(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """All runs of as many words, the last place's last; the text of the last, and whether it is a token to predict."""
+    h, n = _sequence(data, offsets, order)
+    token, ends = np.ones(len(h), bool), np.cumsum(n)
+    for i in range(order - 1):
+        token[ends - n + i] = False
+    words = [h[order - 1 - i : len(h) - i] for i in range(order - 1, -1, -1)]
+    return words, np.repeat(np.arange(len(n), dtype=np.uint32), n)[order - 1 :], token[order - 1 :]
 
 
 def _ngrams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """For each token to predict, the words from order-1 before it to itself; its text."""
-    h, n = _sequence(data, offsets, order)
-    owner = np.repeat(np.arange(len(n)), n)
-    at = np.flatnonzero(np.arange(len(h)) - (np.cumsum(n) - n)[owner] >= order - 1)
-    return [h[at - i] for i in range(order - 1, -1, -1)], owner[at]
+    words, owner, token = _windows(data, offsets, order)
+    return [w[token] for w in words], owner[token]
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -126,7 +140,9 @@ def _sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _merged(words: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct n-grams and their counts, sorted by the word before the last, the last, then from right to left."""
-    order = np.lexsort([*words[:-2], words[-1], words[-2]])
+    order = np.arange(len(n))
+    for w in [*words[:-2], words[-1], words[-2]]:
+        order = order[T.order(w[order])[0]]
     words, n = [w[order] for w in words], n[order]
     at = _starts(*words)
     return [w[at] for w in words], _sums(n, at)
@@ -203,7 +219,7 @@ def _counted(rows: DataFrame, order: int, shards: int) -> DataFrame:
         return pa.table({"part": pa.array([shard % PARTS], pa.int32()), "shard": pa.array([shard], pa.int32()), "data": pa.array([_packed(*words, _least(n))], pa.binary())})
 
     grams = batched(rows.select("text"), run, "shard int, data binary")
-    return save(grams.groupBy("shard").applyInArrow(merge, "part int, shard int, data binary"), "counts", "part")
+    return save(grams.groupBy("shard").applyInArrow(by_group(merge), "part int, shard int, data binary"), "counts", "part")
 
 
 def _found(counts: DataFrame, order: int) -> DataFrame:
@@ -270,7 +286,7 @@ def train(rows: DataFrame, order: int = ORDER) -> Model | None:
             for k, (at, c) in sorted(_levels(words, c).items()):  # noqa: B020
                 own, p, c = [x[at] for x in words[-k:]], below[at], c.astype(np.int64)
                 less = d[k][np.minimum(c, 3) - 1]
-                context, of = np.unique(_keys(own[:-1])[-1], return_inverse=True)
+                context, of = T.distinct(_keys(own[:-1])[-1])
                 offs, sums = np.bincount(of, less), np.bincount(of, c)
                 x = (c - less) / offs[of]
                 keys += [_keys(own)[-1], context]
@@ -279,9 +295,8 @@ def train(rows: DataFrame, order: int = ORDER) -> Model | None:
         return dealt(np.concatenate(keys), np.concatenate(values))
 
     def dealt(key: np.ndarray, value: np.ndarray) -> pa.Table:
-        by = np.argsort(key)
-        key, value = key[by], value[by]
-        value = np.rint(value * UNITS).astype(np.int64)
+        by, key = T.order(key)
+        value = np.rint(value[by] * UNITS).astype(np.int64)
         out = {s: _packed(key[i:j], value[i:j]) for s, i, j in _slices(key, _edges(rounds * shards))}
         place = np.array(list(out), np.int32)
         return pa.table({"round": pa.array(place // shards), "shard": pa.array(place % shards), "data": pa.array(list(out.values()), pa.binary())})
@@ -297,7 +312,7 @@ def train(rows: DataFrame, order: int = ORDER) -> Model | None:
     for some in [counts.filter(F.col("part") == i) for i in range(PARTS)] if size > SMALL else [counts]:
         some = some.select("shard", "data")
         joined = batched(some, asked, "shard int, w long").join(words, "w").select("shard", "w", "n")
-        entries.append(save(some.groupBy("shard").cogroup(joined.groupBy("shard")).applyInArrow(terms, schema), "terms", "round"))
+        entries.append(save(some.groupBy("shard").cogroup(joined.groupBy("shard")).applyInArrow(by_group(terms), schema), "terms", "round"))
         if size > SMALL:
             drop(counts, f"part={len(entries) - 2}")
     drop(counts)
@@ -328,18 +343,20 @@ def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
             held, blocks = _Block(), 0
             for batch in batches:
                 for a, b, data, offsets in T.chunks(batch.column(0)):
-                    words, owner = _ngrams(data, offsets, order)
-                    held.mark += int(np.bitwise_xor.reduce(T.mix(words[-1] + owner.astype(np.uint64)), initial=np.uint64(b - a)))
-                    begin = [np.full(b - a, _BEGIN, np.uint64)] * (order - 1)
-                    for key, of in [*((x, owner) for x in _keys(words)), *((x, np.arange(b - a)) for x in _keys(begin))]:
-                        at = np.flatnonzero(key - low <= width)
+                    words, owner, token = _windows(data, offsets, order)
+                    keys = _keys(words)
+                    held.mark += int((keys[-1] * (2 * owner + 1)).sum()) + b - a
+                    begin, each = [np.full(b - a, _BEGIN, np.uint64)] * (order - 1), np.arange(b - a, dtype=np.uint32)
+                    for key, of, which in [*((x, owner, token) for x in keys), *((x, each, True) for x in _keys(begin))]:
+                        at = np.flatnonzero((key - low <= width) & which)
                         held.keys.append(key[at])
-                        held.texts.append((of[at] + held.size).astype(np.uint32))
+                        held.texts.append(of[at] + np.uint32(held.size))
+                    tokens = np.bincount(owner, token, b - a).astype(np.int64)
                     if not of_round:
                         held.rows.append(batch.slice(a, b - a).select(range(1, 1 + len(columns))))
-                        held.words.append(np.bincount(owner, minlength=b - a) - 1)
+                        held.words.append(tokens - 1)
                     held.size += b - a
-                    held.tokens += len(owner)
+                    held.tokens += int(tokens.sum())
                     if held.tokens >= BLOCK_TOKENS * rounds or held.size >= BLOCK_TEXTS:
                         yield dealt(held, blocks)
                         held, blocks = _Block(), blocks + 1
@@ -348,8 +365,8 @@ def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
 
         def dealt(held: _Block, number: int) -> pa.RecordBatch:
             key, text = np.concatenate(held.keys), np.concatenate(held.texts)
-            by = np.argsort(key)
-            key, text = key[by], text[by]
+            by, key = T.order(key)
+            text = text[by]
             first = _starts(key)
             key, text = key[first], _least(text)
             n = np.diff(np.append(first, len(text)))
@@ -372,8 +389,8 @@ def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
         kind = table["kind"].to_numpy()
         parts = [_unpacked(table["data"][i]) for i in np.flatnonzero(kind == 0).tolist()]
         key, value = (np.concatenate([np.zeros(0, t), *(p[i] for p in parts)]) for i, t in enumerate((np.uint64, np.int64)))
-        by = np.argsort(key)
-        key, value = key[by], value[by] / UNITS
+        by, key = T.order(key)
+        value = value[by] / UNITS
         at = _starts(key)
         key, value = np.append(key[at], ~np.uint64(0)), np.append(_sums(value, at), 0.0)
         of, data = [], []
@@ -415,13 +432,13 @@ def score(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
         asks = batched(texts, asked(r), f"shard int, {part}")
         for x in model.entries:
             asks = asks.union(x.filter(F.col("round") == r).select("shard", F.lit(0).cast("long").alias("block"), F.lit(0).alias("kind"), "data"))
-        answers = asks.groupBy("shard").applyInArrow(answered, part)
-        sums.append(save(answers.groupBy("block").applyInArrow(added, part), f"sums-{r}"))
+        answers = asks.groupBy("shard").applyInArrow(by_group(answered), part)
+        sums.append(save(answers.groupBy("block").applyInArrow(by_group(added), part), f"sums-{r}"))
     every = sums[0]
     for x in sums[1:]:
         every = every.union(x)
     schema = ", ".join([*(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in columns), _SCORES])
-    out = save(every.groupBy("block").applyInArrow(finished, schema), "scores")
+    out = save(every.groupBy("block").applyInArrow(by_group(finished), schema), "scores")
     for x in [*sums, *([texts] if shuffled else [])]:
         drop(x)
     return out

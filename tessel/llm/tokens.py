@@ -52,12 +52,86 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def combine(*hashes: np.ndarray) -> np.ndarray:
     """The hash of a sequence of hashes; it depends on their order and number."""
-    out = np.full(np.shape(hashes[0]), 0x5851F42D4C957F2D * len(hashes) % (1 << 64), np.uint64)
-    for h in hashes:
-        out = mix(out * U64(0x2545F4914F6CDD1D) + h)
+    out = mix(hashes[0] + U64(0x5851F42D4C957F2D * len(hashes) * 0x2545F4914F6CDD1D % (1 << 64)))
+    for h in hashes[1:]:
+        out *= U64(0x2545F4914F6CDD1D)
+        out += h
+        out = mix(out)
     return out
 
 
+def order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of unsigned 64-bit numbers in ascending order, equal ones as they stand, and the sorted
+    numbers. Sorts their high bits with the places below them, which takes a fraction of an argsort."""
+    n = len(x)
+    if not n:
+        return np.zeros(0, np.int64), x
+    lead, low = U64(64 - int(x.max()).bit_length()), U64((n - 1).bit_length())
+    at = x << lead if lead < 64 else np.zeros(n, np.uint64)
+    at >>= low
+    at <<= low
+    at |= np.arange(n, dtype=np.uint64)
+    at.sort()
+    at &= (U64(1) << low) - U64(1)
+    places = at.view(np.int64)
+    out = x[places]
+    if (out[1:] < out[:-1]).any():  # some differ in the bits that gave way to places
+        again = np.argsort(out, kind="stable")
+        places, out = places[again], out[again]
+    return places, out
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of unsigned 64-bit numbers, sorted, and for each number its place among them."""
+    places, out = order(x)
+    new = np.ones(len(x), bool)
+    new[1:] = out[1:] != out[:-1]
+    of = np.empty(len(x), np.int64)
+    of[places] = np.cumsum(new) - 1
+    return out[new], of
+
+
+class Places:
+    """Finds the places of 64-bit numbers among distinct ones in a table by their hash, which takes a
+    fraction of a binary search when they are many."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys.view(np.uint64)
+        bits = max(4, (2 * len(keys)).bit_length())
+        self._shift, self._mask = U64(64 - bits), (1 << bits) - 1
+        self._table = np.full(1 << bits, -1, np.int32)
+        left, slot = np.arange(len(keys)), self._slots(self.keys)
+        while len(left):
+            some = self._table[slot] < 0
+            self._table[slot[some]] = left[some]
+            lost = self._table[slot] != left
+            left, slot = left[lost], (slot[lost] + 1) & self._mask
+
+    def _slots(self, x: np.ndarray) -> np.ndarray:
+        h = x >> U64(32)
+        h ^= x
+        h *= U64(_BASE)
+        h >>= self._shift
+        return h.view(np.int64)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """-1 where absent."""
+        x = x.view(np.uint64)
+        if not len(self.keys):
+            return np.full(len(x), -1)
+        slot = self._slots(x)
+        out = self._table[slot].astype(np.int64)
+        wrong = np.flatnonzero((self.keys[out] != x) & (out >= 0))
+        slot = slot[wrong]
+        while len(wrong):
+            slot = (slot + 1) & self._mask
+            got = self._table[slot]
+            out[wrong] = got
+            again = (self.keys[got] != x[wrong]) & (got >= 0)
+            wrong, slot = wrong[again], slot[again]
+        return out
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column and the n+1 offsets of its rows; null counts as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -113,7 +187,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Tokens:
     parts: list[tuple[np.ndarray, ...]] = []
     for a, b in _cuts(data, offsets):
         x = data[a:b]
-        inside = ~SEPARATOR[x]
+        inside = (x != 0x20) & (x - np.uint8(9) > 4)  # as SEPARATOR has it
         first = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b)] - a
         opens, closes = inside.copy(), inside.copy()
         opens[1:] &= ~inside[:-1]
@@ -124,7 +198,9 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Tokens:
         s, e = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         up, down = _powers(b - a + 1)
         total = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(table[x] * up[: b - a], out=total[1:])
+        np.take(table, x.astype(np.intp), mode="clip", out=total[1:])
+        total[1:] *= up[: b - a]
+        np.cumsum(total, out=total)
         parts.append((s + a, e + a, mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))))
     s, e, h = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
     return Tokens(s, e, h, np.searchsorted(s, offsets))

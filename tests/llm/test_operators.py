@@ -59,6 +59,24 @@ def test_words_and_hashes(monkeypatch, some_texts):
     assert len(offsets) == len(some_texts) + 1 and data.tobytes() == "".join(x or "" for x in some_texts).encode()
 
 
+def test_order_and_distinct_are_those_of_numpy():
+    r = np.random.default_rng(7)
+    some = r.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    near = (some[:1] << np.uint64(1)) + r.integers(0, 50, 500, dtype=np.uint64)  # equal high bits
+    for x in (some[:0], some[:1], np.zeros(5, np.uint64), some, np.repeat(some, 3), near, np.append(some, near), r.integers(0, 9, 99, dtype=np.uint64), ~some):
+        places, out = T.order(x)
+        assert (places == np.argsort(x, kind="stable")).all() and (out == np.sort(x)).all()
+        assert all((a == b).all() for a, b in zip(T.distinct(x), np.unique(x, return_inverse=True), strict=True))
+
+
+def test_places_are_found():
+    r = np.random.default_rng(8)
+    for keys in (np.zeros(0, np.int64), np.array([0]), np.unique(r.integers(0, 1 << 62, 5000)), np.arange(3000) << 21):
+        asks = np.concatenate([keys, keys + 1, [-1, 0, 7]])
+        want = {k: i for i, k in enumerate(keys.tolist())}
+        assert T.Places(keys).find(asks).tolist() == [want.get(x, -1) for x in asks.tolist()]
+
+
 # 1
 
 
